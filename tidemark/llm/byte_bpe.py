@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
@@ -99,13 +100,16 @@ class Transducer:
         else:
             raise ValueError("the ranks lack a single byte")
         ends += (t,)
-        paths = [self._path(ends, j)[::-1] for j in range(max(0, n - self.longest), n + 1) if j == n or pending[j:] in self.proper]
-        shared = 0
-        while all(len(p) > shared + 1 and p[shared + 1] == paths[0][shared + 1] for p in paths):
-            shared += 1
-        cut = paths[0][shared]
-        out = tuple(ends[j] for j in paths[0][1 : shared + 1])
+        # The last boundary that lies on the way back from every live one.
+        live = {n}.union(j for j in range(max(0, n - self.longest + 1), n) if pending[j:] in self.proper)
+        while len(live) > 1:
+            j = max(live)
+            live.remove(j)
+            live.add(j - len(self.token[ends[j]]))
+        cut = live.pop()
+        out = ()
         if cut:
+            out = tuple(ends[j] for j in self._path(ends, cut)[-2::-1])
             last, pending, ends = ends[cut], pending[cut:], ends[cut:]
         key = (last, pending)
         to = self.number.get(key)
@@ -183,26 +187,45 @@ class Utf8Stream:
         return cut
 
 
+#: Below U+0250 these are all letters and numbers there are; \\x1c to \\x1f are white space to ``re`` alone.
+LETTERS, NUMBERS, BEYOND = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", re.compile("[^\\x00-\\x1b\\x20-ɏ]")
+
+
+def latin_pattern(pattern: str) -> re.Pattern | None:
+    """The same pattern for texts below U+0250, for the faster library; None if it can't be put so."""
+    for name, members in ((r"\p{L}", LETTERS), (r"\p{N}", NUMBERS)):
+        at = 0
+        while (at := pattern.find(name, at)) >= 0:
+            inside = pattern.rfind("[", 0, at) > pattern.rfind("]", 0, at)
+            put = members if inside else f"[{members}]"
+            pattern = pattern[:at] + put + pattern[at + len(name) :]
+            at += len(put)
+    return None if re.search(r"\\[pPXRKhN]|\[\[|\|\||&&|--|\(\?[a-zA-Z|]|[+*?}]\+", pattern) else re.compile(pattern)
+
+
 class Codec:
     """Texts to ids and back; what it remembers of pieces is bounded."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.fst, self.split = Transducer(ranks), regex.compile(pattern)
+        self.fst, self.full = Transducer(ranks), regex.compile(pattern)
+        self.latin = latin_pattern(pattern)
+        self.decimal = {i: str(i) for i in self.fst.token}
         outer = self
 
         class Ids(dict):
             def __missing__(self, piece: str) -> tuple[int, ...]:
-                if len(self) > MAX_PIECES:
-                    self.clear()
                 ids = outer.fst.encode(piece.encode("utf-8", "surrogatepass"))
-                if len(piece) < 64:
+                if len(self) < MAX_PIECES and len(piece) < 64:  # the common pieces come first
                     self[piece] = ids
                 return ids
 
         self.pieces = Ids()
 
+    def split(self, text: str) -> list[str]:
+        return (self.full if self.latin is None or BEYOND.search(text) else self.latin).findall(text)
+
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.pieces.__getitem__, self.split.findall(text))))
+        return list(chain.from_iterable(map(self.pieces.__getitem__, self.split(text))))
 
     def decode_bytes(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.fst.token.__getitem__, ids))
@@ -258,7 +281,7 @@ def digest_row(c: Codec, text: str) -> tuple:
     ids = c.encode(text)
     return (
         len(ids),
-        hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(),
+        hashlib.sha256(" ".join(map(c.decimal.__getitem__, ids)).encode()).hexdigest(),
         hashlib.sha256(c.decode_bytes(ids)).hexdigest(),
     )
 

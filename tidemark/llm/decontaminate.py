@@ -256,8 +256,9 @@ def search(index: DataFrame, items: list[tuple[str, list[bytes]]], width: int =
     return wanted.groupBy("block").applyInArrow(run, HITS)
 
 
-@F.pandas_udf("array<int>")
 def _union(runs):
+    """Runs of one document found with several chunks, made one list."""
+
     def one(x):
         out: list[int] = []
         for a, b in sorted((r[k], r[k + 1]) for r in x for k in range(0, len(r), 2)):
@@ -299,7 +300,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "_key", text
     for x in found[1:]:
         both = both.unionByName(x)
     return both.groupBy("_key", "block", "nth", "n_words").agg(
-        _union(F.collect_list("runs")).alias("runs"),
+        F.pandas_udf(_union, "array<int>")(F.collect_list("runs")).alias("runs"),
         F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
         F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"),
     )

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import chat_format, url_filter
+from . import ann_search, byte_bpe, chat_format, decontaminate, url_filter
 
 
 def queries() -> dict:
     return {
+        "op3_nearest_neighbours": ann_search.op3_nearest_neighbours,
+        "op6_byte_bpe": byte_bpe.op6_byte_bpe,
         "op7_url_filters": url_filter.op7_url_filters,
         "op9_chat_formatting": chat_format.op9_chat_formatting,
+        "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
     }
 
 
