@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import ann_search, byte_bpe, chat_format, decontaminate, suffix_dedup, url_filter
+from . import ann_search, byte_bpe, chat_format, decontaminate, minhash_forest, suffix_dedup, url_filter
 
 
 def queries() -> dict:
     return {
         "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
         "op3_nearest_neighbours": ann_search.op3_nearest_neighbours,
+        "op4_minhash_forest": minhash_forest.op4_minhash_forest,
         "op6_byte_bpe": byte_bpe.op6_byte_bpe,
         "op7_url_filters": url_filter.op7_url_filters,
         "op9_chat_formatting": chat_format.op9_chat_formatting,
