@@ -2,16 +2,30 @@
 
 from __future__ import annotations
 
-from . import ann_search, byte_bpe, chat_format, decontaminate, minhash_forest, suffix_dedup, url_filter
+from . import (
+    ann_search,
+    byte_bpe,
+    chat_format,
+    decontaminate,
+    language_id,
+    minhash_forest,
+    quality_knn,
+    suffix_dedup,
+    toxicity,
+    url_filter,
+)
 
 
 def queries() -> dict:
     return {
+        "op1_language_id": language_id.op1_language_id,
         "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
         "op3_nearest_neighbours": ann_search.op3_nearest_neighbours,
         "op4_minhash_forest": minhash_forest.op4_minhash_forest,
+        "op5_toxicity_channel": toxicity.op5_toxicity_channel,
         "op6_byte_bpe": byte_bpe.op6_byte_bpe,
         "op7_url_filters": url_filter.op7_url_filters,
+        "op8_quality_knn": quality_knn.op8_quality_knn,
         "op9_chat_formatting": chat_format.op9_chat_formatting,
         "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
     }
