@@ -277,8 +277,7 @@ def map_texts(df: DataFrame, ranks_path: str, pattern: str, row: Callable[[Codec
     return whole.mapInArrow(run, out)
 
 
-def digest_row(c: Codec, text: str) -> tuple:
-    ids = c.encode(text)
+def digests(c: Codec, ids: list[int]) -> tuple:
     return (
         len(ids),
         hashlib.sha256(" ".join(map(c.decimal.__getitem__, ids)).encode()).hexdigest(),
@@ -286,6 +285,10 @@ def digest_row(c: Codec, text: str) -> tuple:
     )
 
 
+def digest_row(c: Codec, text: str) -> tuple:
+    return digests(c, c.encode(text))
+
+
 DIGEST = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
