@@ -19,7 +19,7 @@ who is next to whom matters, not the alphabet.
    in order of blocks; a bit per suffix says that an earlier one is equal.
 
 What moves is sorted fingerprints without positions, one way, and bits the
-other way: about 0.7 bytes a byte of text for the sample, at most 8 a byte of
+other way: about 0.6 bytes a byte of text for the sample, some 6 a byte of
 passages that are repeated. A task holds one block (``BLOCK`` bytes, or one
 longer document) or one bucket (``BUCKET`` bytes).
 
@@ -136,20 +136,36 @@ def from_bytes(b, width: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def pack_gaps(gaps: np.ndarray) -> tuple[int, bytes, bytes | None]:
+    """Width, the gaps in that many bytes, and the few that are wider: places, then values."""
+    size = [0, *(int((gaps >> np.uint64(8 * w)).astype(bool).sum()) if w < 8 else 0 for w in range(1, 9))]
+    width = min(range(1, 9), key=lambda w: len(gaps) * w + 12 * size[w])
+    odd = np.flatnonzero(gaps >> np.uint64(8 * width)) if width < 8 else np.zeros(0, int)
+    return width, to_bytes(gaps, width), odd.astype("<u4").tobytes() + gaps[odd].astype("<u8").tobytes() if len(odd) else None
+
+
+def read_gaps(row: dict) -> np.ndarray:
+    gaps = from_bytes(row["data"], row["width"])
+    if row["odd"]:
+        k = len(row["odd"]) // 12
+        gaps[np.frombuffer(row["odd"], "<u4", k)] = np.frombuffer(row["odd"], "<u8", k, 4 * k)
+    return gaps
+
+
 def cut_points(values: np.ndarray, bits: int) -> np.ndarray:
     """Where each bucket (the leading bits) begins in sorted values."""
     edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
     return np.concatenate([[0], np.searchsorted(values, edges), [len(values)]])
 
 
-PIECE = "block long, bucket int, n int, width int, data binary, more binary"
+PIECE = "block long, bucket int, n int, width int, data binary, more binary, odd binary"
 BITS = "block long, bucket int, n int, bits binary"
 
 
 def _piece(rows: list[tuple]) -> pa.Table:
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-    cols = list(zip(*rows, strict=True)) if rows else [()] * 6
-    return pa.table({n: pa.array(c, k) for n, c, k in zip(("block", "bucket", "n", "width", "data", "more"), cols, kinds, strict=True)})
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    cols = list(zip(*rows, strict=True)) if rows else [()] * 7
+    return pa.table({n: pa.array(c, k) for n, c, k in zip(("block", "bucket", "n", "width", "data", "more", "odd"), cols, kinds, strict=True)})
 
 
 def _bits(rows: list[tuple]) -> pa.Table:
@@ -176,8 +192,9 @@ def _send_sample(bits: int):
             for row in b.to_pylist():
                 _, s, _ = _sampled(Block(row))
                 cuts = cut_points(s, bits)
-                low = (s << np.uint64(bits)) >> np.uint64(24)  # the 40 bits after those of the bucket
-                rows = [(row["block"], k, int(e - a), 5, to_bytes(low[a:e], 5), None) for k, (a, e) in enumerate(zip(cuts, cuts[1:], strict=False)) if e > a]
+                # The 32 bits after those of the bucket: two suffixes that meet by chance only make candidates.
+                low = (s << np.uint64(bits)) >> np.uint64(32)
+                rows = [(row["block"], k, int(e - a), 4, to_bytes(low[a:e], 4), None, None) for k, (a, e) in enumerate(zip(cuts, cuts[1:], strict=False)) if e > a]
                 yield from _piece(rows).to_batches()
 
     return run
@@ -233,14 +250,14 @@ def _send_deep(bits: int, wide: bool):
             turn = np.flatnonzero(np.diff(places, prepend=-2) != 1)
             runs = np.stack([places[turn], np.concatenate([places[turn[1:] - 1], places[-1:]]) + 1]) if len(places) else np.zeros((2, 0))
             # The candidates' places travel along, for the last step.
-            rows.append((row["block"], -1 - row["block"] % (1 << bits), runs.shape[1], 0, zstandard.compress(runs.astype("<i8").tobytes()), None))
+            rows.append((row["block"], -1 - row["block"] % (1 << bits), runs.shape[1], 0, zstandard.compress(runs.astype("<i8").tobytes()), None, None))
             _, _, h, g = _deep(block, places, wide)
             cuts = cut_points(h, bits)
             for k, (a, e) in enumerate(zip(cuts, cuts[1:], strict=False)):
                 if e > a:
                     gaps = np.diff(h[a:e], prepend=np.uint64(k << (64 - bits)))
-                    width = max(1, (int(gaps.max()).bit_length() + 7) // 8)
-                    rows.append((row["block"], k, int(e - a), width, to_bytes(gaps, width), to_bytes(g[a:e], 4) if wide else None))
+                    width, data, odd = pack_gaps(gaps)
+                    rows.append((row["block"], k, int(e - a), width, data, to_bytes(g[a:e], 4) if wide else None, odd))
         return _piece(rows)
 
     return run
@@ -253,7 +270,7 @@ def _rank_deep(bits: int):
         if rows[0]["bucket"] < 0:
             return _bits([(r["block"], -1, r["n"], r["data"]) for r in rows])
         base = np.uint64(rows[0]["bucket"] << (64 - bits))
-        h = np.concatenate([np.cumsum(from_bytes(r["data"], r["width"]), dtype=np.uint64) + base for r in rows])
+        h = np.concatenate([np.cumsum(read_gaps(r), dtype=np.uint64) + base for r in rows])
         if rows[0]["more"] is not None:
             g = np.concatenate([from_bytes(r["more"], 4) for r in rows])
             order = np.lexsort((g, h))
