@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..deploy import ship
+
 #: Ranks are summed within this many ranges of a feature's values, then over the ranges.
 RANGES = 64
 KNN_ROWS = 200_000
@@ -172,6 +174,7 @@ def continuous_mi(df: DataFrame, features: list[str], target: str, cap: int = KN
     """feature, mi of continuous features and a class, on a sample of at most ``cap`` rows."""
     from .statistics import fixed_sample
 
+    ship(df.sparkSession)
     m = melt(fixed_sample(df, cap), features, F.dense_rank().over(Window.orderBy(target)), F.lit(0))
 
     def one(t: pa.Table) -> pa.Table:

@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..deploy import ship
 from .frameworks import kinds_of
 
 FACTS = (
@@ -385,4 +386,5 @@ def extract(sources: DataFrame) -> DataFrame:
             rows = [r for p, c in zip(b["path"], b["content"], strict=True) for r in facts_of(p, "" if c is None else c)]
             yield pd.DataFrame(rows, columns=COLUMNS)
 
+    ship(sources.sparkSession)
     return sources.select("path", "content").mapInPandas(run, FACTS)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..deploy import ship
 from ..functions.scalars import set_signature
 
 EVENT = "session_id string, ordinal long, kind string, call_site string, class string, method string, input_rows array<struct<dataset_id:string,row_key:string>>"
@@ -20,6 +21,7 @@ def repeated_evaluations(events: DataFrame) -> DataFrame:
 
     Membership is not looked at here: join the result with it once the session is over.
     """
+    ship(events.sparkSession)
     sig = set_signature(F.transform("input_rows", lambda r: F.concat(r["dataset_id"], F.lit(":"), r["row_key"])))
     scores = events.filter("kind = 'score'").select("session_id", sig.alias("signature"), "ordinal")
 
