@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..deploy import ship
+
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -50,14 +58,13 @@ class Workspace:
     def free_shuffles(self) -> None:
         """Let Spark's cleaner remove shuffle files of finished steps now, not
         whenever the driver next collects garbage."""
-        import gc
-
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Texts can be long: hand them to Python in batches of bounded size."""
+    """Before Python reads texts, which can be long: the package goes to the workers, and batches get a bounded size."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
@@ -69,3 +76,21 @@ def clean_text(col: str = "text"):
 def crc_mod(col: str, m: int):
     """crc32 of the id as decimal text, mod m; a null id counts as empty text."""
     return (F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % m).cast("int")
+
+
+_HELD: dict = {}
+
+
+def hold(name: str, make=None):
+    """What a worker process keeps from task to task, for one operator at a time.
+
+    Workers outlive the operators of a pipeline; whoever comes next has the last one's memory freed.
+    """
+    if name not in _HELD:
+        if _HELD:
+            _HELD.clear()
+            gc.collect()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+        _HELD[name] = make() if make else None
+    return _HELD[name]

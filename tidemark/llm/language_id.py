@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, small_batches
+from .common import Workspace, hold, small_batches
 
 BINS = 1 << 15
 SAMPLE = 2000
@@ -106,6 +106,7 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], text: str = "
     place = [c for c in where.columns if c in ("_host", "_suffix", "_said")]
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("languages")
         for b in batches:
             e = np.exp(text_evidence(shared.value, [x.as_py() or "" for x in b.column(0)]))
             p = e / e.sum(1, keepdims=True)

@@ -18,6 +18,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import LOWER, UPPER
+
 #: (action, host, path): what the query applies.
 RULES = (
     ("block", "com", "/en/"),
@@ -29,7 +31,6 @@ RULES = (
 #: Rules whose estimated size is under this many bytes are sent to every
 #: executor; a longer list is joined by shuffling.
 BROADCAST_BYTES = 32 << 20
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def host_of(url: Column) -> Column:
