@@ -6,16 +6,20 @@
    is a common prefix. No prefix is shorter than ``DEPTH`` (3); beyond that a
    region's depth follows its density, because in the sorted order a class meets
    the neighbours with which it shares the longest prefix.
-3. Neighbours in the orders are candidates; each class's most frequent ones are
-   confirmed on full sets and joined to components. A dense region of copies
-   thus costs links in proportion to its size.
-4. So that no link between components is lost, every region that still holds
-   several components then gives all its pairs *across* components whose
-   signatures agree in at least ``AGREE`` places; these, too, are confirmed.
+3. Neighbours in the orders are candidates, and so is each region's leader, the
+   class that shares regions with most others; each class's most frequent ones
+   are confirmed on full sets and joined to components. A dense region of
+   copies thus costs links in proportion to its size.
+4. So that no link between components is lost, the classes of regions that
+   still hold several components are joined again, exactly: with shingles
+   ordered from rare to common, two sets that are similar enough share one
+   among the first n - ceil(0.8 n) + 1 of each. Classes that have a long common
+   passage but are not similar have rare shingles of their own there, so a
+   dense region of such texts gives few candidates, not all its pairs. Pairs
+   across components of fitting sizes are confirmed.
 
 A pair at the threshold of 0.8 shares no region with probability
-(1 - 0.8**3)**24 = 3e-8 and agrees in too few places with about 1e-8; more
-similar ones, less. Confirmation is exact: |A & B| * 100 >= 80 * |A | B| on the
+(1 - 0.8**3)**24 = 3e-8; more similar ones, less. Confirmation is exact: |A & B| * 100 >= 80 * |A | B| on the
 full sets (of 64-bit shingle fingerprints).
 
 Defined results: A-Z are lower-cased; a document with fewer words than a
@@ -37,13 +41,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, small_batches
+from .common import LOWER, UPPER, Workspace, hold, small_batches
 from .components import components
 
 WORDS, NUM, DEN = 4, 80, 100
 TREES, DEPTH = 24, 3
 SIGNATURE = TREES * DEPTH
-AGREE = 36
 #: Neighbours of a class that are confirmed first.
 FIRST = 2
 #: Values of the signature after the prefix by which a region is sorted.
@@ -61,20 +64,18 @@ class _Words(dict):
 
     def __missing__(self, w: bytes) -> int:
         h = xxhash.xxh64_intdigest(w)
-        if len(self) < 500_000 and len(w) < 64:
+        if len(self) < 200_000 and len(w) < 64:
             self[w] = h
         return h
 
 
-_WORDS = _Words()
-
 
 def shingles(text: str | None, size: int = WORDS) -> np.ndarray:
     """Sorted distinct 64-bit fingerprints of the text's shingles."""
     w = text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []
     if not w:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_WORDS.__getitem__, w), np.uint64, len(w))
+    h = np.fromiter(map(hold("words", _Words).__getitem__, w), np.uint64, len(w))
     k = min(size, len(w))
     out = np.full(len(h) - k + 1, k, np.uint64)
     for i in range(k):
@@ -138,12 +139,14 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.binary()) for i in (0, 1)], names=["u", "v"])
 
 
-def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row a shingle of a class."""
     for b in batches:
-        if b.num_rows:
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, SIGNATURE) for c in ("s8", "t8"))
-            ok = pa.array((x == y).sum(1) >= AGREE)
-            yield pa.RecordBatch.from_arrays([b.column(c).filter(ok) for c in ("u", "v")], names=["u", "v"])
+        for node, x in zip(b.column("node"), b.column("set"), strict=True):
+            h = np.frombuffer(x.as_buffer(), "<i8")
+            for a in range(0, len(h), 50_000):
+                part = h[a : a + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array([node.as_py()] * len(part), pa.binary()), pa.array(part)], names=["node", "g"])
 
 
 def _confirm(num: int, den: int):
@@ -160,13 +163,6 @@ def _confirm(num: int, den: int):
     return run
 
 
-def _narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A byte of each minimum is enough to count places that agree: it never lowers the count."""
-    for b in batches:
-        s = [np.frombuffer(x.as_buffer(), np.uint8)[3::4].tobytes() for x in b.column("sig")]
-        yield pa.RecordBatch.from_arrays([b.column("node"), b.column("n_shingles"), pa.array(s, pa.binary())], names=["node", "n_shingles", "s8"])
-
-
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
     """A row per row of docs: _key, n_shingles, component_id, kept. Similarity is at least num / den, 0.8 or more."""
     if num * 10 < den * 8:
@@ -177,13 +173,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     rows = work.put("rows", docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(_sets(words), "_key long, n_shingles long, node binary, sig binary"))
     nodes = work.put("nodes", rows.filter("node is not null").groupBy("node").agg(F.min(F.struct("_key")).alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")))
     orders = work.put("orders", nodes.select("node", "sig").mapInArrow(_trees, "region long, deeper binary, node binary"))
-    crowded = orders.groupBy("region").agg(F.count("*").alias("n")).filter("n > 1").select("region")
+    crowded = orders.groupBy("region").agg(F.count("*").alias("size")).filter("size > 1")
     orders = work.put("crowded", orders.join(crowded, "region"))
     work.drop("orders")
     ordered = orders.repartitionByRange("region", "deeper", "node").sortWithinPartitions("region", "deeper", "node")
     near = ordered.mapInArrow(_neighbours, "u binary, v binary").groupBy("u", "v").agg(F.count("*").alias("n"))
     best = Window.partitionBy("v").orderBy(F.desc("n"), "u")
     pairs = near.withColumn("k", F.row_number().over(best)).filter(F.col("k") <= FIRST).select("u", "v")
+    # Copies of one text may be less similar to each other than to it. It then shares most regions with
+    # most classes: in each region all look at the one that does.
+    weight = orders.groupBy("node").agg(F.sum("size").alias("w"))
+    lead = orders.join(weight, "node").groupBy("region").agg(F.max_by("node", F.struct("w", "node")).alias("lead"))
+    led = orders.select("region", "node").join(lead, "region").filter("node <> lead").groupBy("node", "lead").agg(F.count("*").alias("n"))
+    best = Window.partitionBy("node").orderBy(F.desc("n"), "lead")
+    led = led.withColumn("k", F.row_number().over(best)).filter(F.col("k") <= FIRST).select(F.least("node", "lead").alias("u"), F.greatest("node", "lead").alias("v"))
+    pairs = pairs.unionByName(led).distinct()
 
     # Full sets of the classes that share any region: one pass over the texts.
     wanted = orders.select("node").distinct().join(nodes.select("node", F.col("first._key").alias("k")), "node")
@@ -207,13 +211,22 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     first = confirmed("first", pairs)
     of = components(first, work, "a")
 
-    # Regions that still hold several components: all pairs across them.
+    # Classes of regions that still hold several components: an exact join across components.
     named = orders.select("region", "node").join(of.select(F.col("u").alias("node"), "v"), "node", "left").select("region", "node", F.coalesce("v", "node").alias("c"))
     split = named.groupBy("region").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("region")
-    mixed = work.put("mixed", named.join(split, "region").join(nodes.mapInArrow(_narrow, "node binary, n_shingles long, s8 binary"), "node"))
-    other = mixed.select("region", F.col("node").alias("v"), F.col("c").alias("d"), F.col("n_shingles").alias("m"), F.col("s8").alias("t8"))
+    mixed = work.put("mixed", named.join(split, "region").select("node", "c").distinct().join(nodes.select("node", "n_shingles"), "node"))
+    token = work.put("tokens", mixed.select("node").join(sets, "node").mapInArrow(_tokens, "node binary, g long"))
+    shared = token.join(token.groupBy("g").agg(F.count("*").alias("df")).filter("df > 1"), "g")
+    held = shared.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("gs")).join(mixed, "node")
+    # Shingles that no other class has come first and join nothing.
+    n = F.col("n_shingles")
+    first_n = n - F.floor((n * num + den - 1) / den).cast("long") + 1 - (n - F.size("gs"))
+    prefix = held.filter(first_n > 0).select("node", "c", "n_shingles", F.explode(F.slice("gs", F.lit(1), first_n.cast("int"))).alias("t")).select("node", "c", "n_shingles", "t.g")
+    prefix = work.put("prefix", prefix)
+    work.drop("tokens")
+    other = prefix.select("g", F.col("node").alias("v"), F.col("c").alias("d"), F.col("n_shingles").alias("m"))
     fits = (den * F.least("n_shingles", "m")) >= (num * F.greatest("n_shingles", "m"))
-    across = mixed.join(other, "region").filter((F.col("c") < F.col("d")) & fits).select(F.col("node").alias("u"), "v", "s8", "t8").mapInArrow(_agree, "u binary, v binary").distinct()
+    across = prefix.join(other, "g").filter((F.col("c") < F.col("d")) & fits).select(F.col("node").alias("u"), "v").distinct()
     second = confirmed("second", across)
     of = components(of.unionByName(second), work, "b")
 
@@ -230,3 +243,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 def op4_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return near_duplicates(docs).withColumnRenamed("_key", "doc_id")
+
+
+OP4_SQL = rf"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS MATERIALIZED (SELECT DISTINCT doc_id, hash(w[s : s + 3]) AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS s FROM d WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+pair AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+  GROUP BY 1, 2, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, pair.b FROM reach JOIN pair ON reach.b = pair.a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(reach.b) AS component_id, d.doc_id = min(reach.b) AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN reach ON reach.a = d.doc_id GROUP BY d.doc_id, n.n
+"""
