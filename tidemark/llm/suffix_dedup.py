@@ -45,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, small_batches
+from .common import Workspace, hold, small_batches
 
 SIZE = 100
 PERIOD, COVER = 57, (0, 1, 3, 13, 32, 36, 43, 52)
@@ -326,6 +326,7 @@ def _remove(wide: bool, with_text: bool):
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hold("suffixes")
     squeeze = zstandard.ZstdCompressor(level=3)
     for b in batches:
         texts = [(x.as_py() or "").encode("utf-8", "surrogatepass") for x in b.column(1)]
@@ -384,8 +385,11 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", with_text:
     raw = work.put("raw", docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(_read, "_key long, _digest binary, n_bytes long, z binary"))
     # Rows of each (id, text), and whether it is the first with its text.
     rows = raw.groupBy("_key", "_digest", "n_bytes").agg(F.count("*").alias("copies"))
-    first = rows.filter(F.col("n_bytes") >= SIZE).groupBy("_digest").agg(F.min(F.struct("_key")).alias("first"), F.sum("n_bytes").alias("_b"))
-    rows = work.put("rows", rows.join(first.drop("_b"), "_digest", "left").withColumn("is_first", F.col("first").isNotNull() & F.col("first._key").eqNullSafe(F.col("_key"))).drop("first"))
+    # Joined on text and id together, so that no text's copies meet in one task.
+    first = rows.filter(F.col("n_bytes") >= SIZE).groupBy("_digest").agg(F.min(F.struct("_key")).alias("f"))
+    first = first.select(F.col("_digest").alias("_fd"), F.col("f._key").alias("_fk"))
+    found = rows.join(first, (F.col("_digest") == F.col("_fd")) & F.col("_key").eqNullSafe(F.col("_fk")), "left")
+    rows = work.put("rows", found.withColumn("is_first", F.col("_fd").isNotNull()).drop("_fd", "_fk"))
     whole = rows.filter("is_first")
     total = whole.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("n")).first()["n"]
     bits = min(16, max(3, math.ceil(math.log2(max(2.0, total * len(COVER) / PERIOD * 5 / BUCKET)))))
@@ -425,3 +429,16 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", with_text:
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return repeats(docs).select(F.col("_key").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+OP2_SQL = r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST) AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT r, s, b[s : s + 99] AS x FROM (SELECT r, b, unnest(range(1, octet_length(b) - 98)) AS s FROM d WHERE octet_length(b) >= 100)),
+l AS (SELECT r, s FROM w QUALIFY row_number() OVER (PARTITION BY x ORDER BY r, s) > 1),
+e AS (SELECT r, s, CASE WHEN s <= lag(s) OVER (PARTITION BY r ORDER BY s) + 100 THEN 0 ELSE 1 END AS new FROM l),
+u AS (SELECT r, min(s) AS a, max(s) + 99 AS z FROM (SELECT *, sum(new) OVER (PARTITION BY r ORDER BY s) AS run FROM e) GROUP BY r, run),
+p AS (SELECT r, a, z, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM u),
+k AS (SELECT r, count(*) AS spans, sum(z - a + 1) AS gone, string_agg(CASE WHEN a - 1 > before THEN hex(b[before + 1 : a - 1]) ELSE '' END, '' ORDER BY a) || CASE WHEN octet_length(any_value(b)) > max(z) THEN hex(any_value(b)[max(z) + 1 : octet_length(any_value(b))]) ELSE '' END AS rest FROM p JOIN d USING (r) GROUP BY r)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(CASE WHEN rest IS NULL THEN b ELSE unhex(rest) END) AS kept_sha256
+FROM d LEFT JOIN k USING (r)
+"""
