@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, small_batches
+from .common import LOWER, UPPER, Workspace, hold, small_batches
 
 WINDOW = 13
 CHUNK_WORDS = 200_000
@@ -102,6 +102,7 @@ def build_index(docs: DataFrame, key: str = "_key", text: str = "text") -> DataF
     """Postings of every word of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("index")
         part = TaskContext.get().partitionId()
         for k, b in enumerate(batches):
             yield _index_block((part << 32) + k, pack_ids(b.column(0)), b.column(1))
@@ -322,3 +323,18 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     read = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
     docs = read("documents").select(F.col("doc_id").alias("_key"), "text")
     return digest(contamination(docs, read("benchmark"))).withColumnRenamed("_key", "doc_id")
+
+
+OP10_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+iw AS (SELECT DISTINCT item, w[s : s + least(len(w), 13) - 1] AS win FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS s FROM i WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT len(win) AS n FROM iw),
+dw AS (SELECT rid, s, n, w[s : s + n - 1] AS win FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, sizes WHERE len(w) >= n)),
+m AS (SELECT rid, s, n, item FROM dw JOIN iw USING (win)),
+h AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(s, s + n)) AS p FROM m) GROUP BY 1),
+k AS (SELECT rid, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM m GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN h USING (rid) LEFT JOIN k USING (rid)
+"""

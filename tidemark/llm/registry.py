@@ -32,4 +32,10 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_filters": url_filter.OP7_SQL, "op9_chat_formatting": chat_format.OP9_SQL}
+    return {
+        "op2_suffix_dedup": suffix_dedup.OP2_SQL,
+        "op4_minhash_forest": minhash_forest.OP4_SQL,
+        "op7_url_filters": url_filter.OP7_SQL,
+        "op9_chat_formatting": chat_format.OP9_SQL,
+        "op10_benchmark_decontamination": decontaminate.OP10_SQL,
+    }
