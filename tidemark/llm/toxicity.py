@@ -208,7 +208,7 @@ class Scorer:
             class Seen(dict):
                 def __missing__(self, t: str) -> float:
                     v = outer._token(t)
-                    if len(self) < 300_000 and len(t) < 64:
+                    if len(self) < 200_000 and len(t) < 64:
                         self[t] = v
                     return v
 
