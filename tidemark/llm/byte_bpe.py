@@ -7,7 +7,8 @@ reading a byte is a move of an automaton: its state is the last token emitted
 and the bytes still pending; tokens are emitted as soon as every boundary that
 a later token could start from agrees on them, which happens within a lookahead
 bounded by the longest tokens. States and moves are made when first needed
-(lazy determinisation) and kept in a table that is emptied when full.
+(lazy determinisation) and kept in a table of bounded size; when it is full,
+further states are used without being kept.
 
 Decoding. Ids become bytes; an incremental UTF-8 automaton turns them into
 text, holding back at most three bytes between ids.
@@ -21,6 +22,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from bisect import insort
 from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
@@ -29,10 +31,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import hold, small_batches
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
-MAX_STATES, MAX_PIECES = 300_000, 400_000
+MAX_STATES, MAX_PIECES = 100_000, 150_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -40,10 +42,10 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def merge(ranks: dict[bytes, int], data: bytes) -> list[int]:
-    """Merging by rank, as it is defined: the lowest rank first, leftmost first."""
+def merge(ranks: dict[bytes, int], data: bytes, least: int = 1) -> list[int]:
+    """Merging by rank, as it is defined: the lowest rank first, leftmost first; down to ``least`` parts."""
     parts = [data[i : i + 1] for i in range(len(data))]
-    while len(parts) > 1:
+    while len(parts) > least:
         best, at = min((ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
         if best == 1 << 60:
             break
@@ -52,100 +54,124 @@ def merge(ranks: dict[bytes, int], data: bytes) -> list[int]:
 
 
 class Transducer:
+    """A state is (last token emitted or -1, pending bytes, last token at each pending boundary,
+    boundaries that a token not yet ended may start from); the first two decide the others."""
+
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks, self.token = ranks, {i: t for t, i in ranks.items()}
-        self.longest = max(map(len, ranks), default=1)
+        self.size = {i: len(t) for t, i in ranks.items()}
         self.proper = {t[:n] for t in ranks for n in range(1, len(t))}
-        self.pairs: dict[tuple[int, int], bool] = {}
         self.whole: dict[int, bool] = {}
-        self.reset()
-
-    def reset(self) -> None:
-        #: per state: last token emitted (-1: none), pending bytes, last token at each pending boundary
-        self.states: list[tuple[int, bytes, tuple[int, ...]]] = [(-1, b"", (-1,))]
+        self.parts: dict[int, tuple[int, int]] = {}
+        self.start = (-1, b"", (-1,), ())
+        self.states = [self.start]
         self.number = {(-1, b""): 0}
         self.moves: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
         self.ends: dict[int, tuple[int, ...]] = {}
 
+    def _halves(self, t: int) -> tuple[int, int]:
+        """The two tokens that merging joins last; a single byte is its own halves."""
+        got = self.parts.get(t)
+        if got is None:
+            two = merge(self.ranks, self.token[t], 2)
+            got = self.parts[t] = (two[0], two[1]) if len(two) == 2 else (t, t)
+        return got
+
     def _stands(self, left: int, right: int) -> bool:
-        """Whether the right token may follow the left one (-1: the start)."""
+        """Whether the right token may follow the left one (-1: the start).
+
+        Merging the two side by side leaves them alone if, undoing their merges from the last one
+        on, no pair across the border could have been merged before the merge just undone.
+        """
         ok = self.whole.get(right)
         if ok is None:
             ok = self.whole[right] = merge(self.ranks, self.token[right]) == [right]
         if left < 0 or not ok:
             return ok
-        got = self.pairs.get((left, right))
-        if got is None:
-            if len(self.pairs) > 2_000_000:
-                self.pairs.clear()
-            got = self.pairs[left, right] = merge(self.ranks, self.token[left] + self.token[right]) == [left, right]
-        return got
+        token, ranks, bound = self.token, self.ranks, 1 << 60
+        while True:
+            across = ranks.get(token[left] + token[right])
+            if across is not None and across < bound:
+                return False
+            one, two = self.size[left] > 1, self.size[right] > 1
+            if not one and not two:
+                return True
+            # The merge with the higher rank came later. Of equal ranks the left one came first.
+            if one and (not two or left > right):
+                bound, left = left, self._halves(left)[1]
+            else:
+                bound, right = right + 1, self._halves(right)[0]
 
     def _path(self, ends: tuple[int, ...], at: int) -> list[int]:
         """The boundaries from ``at`` back to the first pending byte."""
         out = [at]
         while at:
-            at -= len(self.token[ends[at]])
+            at -= self.size[ends[at]]
             out.append(at)
         return out
 
-    def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        last, pending, ends = self.states[state]
+    def _step(self, state: tuple, byte: int) -> tuple[tuple, tuple[int, ...]]:
+        last, pending, ends, open_ = state
         pending += bytes((byte,))
         n = len(pending)
-        for size in range(min(n, self.longest), 0, -1):
-            t = self.ranks.get(pending[n - size :])
-            if t is not None and self._stands(ends[n - size], t):
-                break
-        else:
+        ranks, proper, token, still = self.ranks, self.proper, None, []
+        # Only where a token could be under way can one end here; the longest comes first.
+        for j in (*open_, n - 1):
+            part = pending[j:]
+            if token is None:
+                t = ranks.get(part)
+                if t is not None and self._stands(ends[j], t):
+                    token = t
+            if part in proper:
+                still.append(j)
+        if token is None:
             raise ValueError("the ranks lack a single byte")
-        ends += (t,)
+        ends += (token,)
         # The last boundary that lies on the way back from every live one.
-        live = {n}.union(j for j in range(max(0, n - self.longest + 1), n) if pending[j:] in self.proper)
+        live = [*still, n]
         while len(live) > 1:
-            j = max(live)
-            live.remove(j)
-            live.add(j - len(self.token[ends[j]]))
-        cut = live.pop()
-        out = ()
-        if cut:
-            out = tuple(ends[j] for j in self._path(ends, cut)[-2::-1])
-            last, pending, ends = ends[cut], pending[cut:], ends[cut:]
-        key = (last, pending)
-        to = self.number.get(key)
-        if to is None:
-            to = self.number[key] = len(self.states)
-            self.states.append((last, pending, ends))
-            self.moves.append({})
-        self.moves[state][byte] = (to, out)
-        return to, out
-
-    def feed(self, state: int, data: bytes) -> tuple[int, list[int]]:
-        """State and tokens emitted after reading ``data``."""
-        out: list[int] = []
-        moves = self.moves
-        for b in data:
-            got = moves[state].get(b)
-            state, some = got if got is not None else self._move(state, b)
-            if some:
-                out.extend(some)
-        return state, out
-
-    def finish(self, state: int) -> tuple[int, ...]:
-        got = self.ends.get(state)
-        if got is None:
-            _, _, ends = self.states[state]
-            got = self.ends[state] = tuple(ends[j] for j in self._path(ends, len(ends) - 1)[-2::-1])
-        return got
+            j = live.pop()
+            j -= self.size[ends[j]]
+            if j not in live:
+                insort(live, j)
+        cut = live[0]
+        if not cut:
+            return (last, pending, ends, tuple(still)), ()
+        return (ends[cut], pending[cut:], ends[cut:], tuple(j - cut for j in still)), tuple(ends[j] for j in self._path(ends, cut)[-2::-1])
+
+    def _flush(self, state: tuple) -> tuple[int, ...]:
+        ends = state[2]
+        return tuple(ends[j] for j in self._path(ends, len(ends) - 1)[-2::-1])
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
         own = self.ranks.get(piece)
         if own is not None:
             return (own,)
-        if len(self.states) > MAX_STATES:
-            self.reset()
-        state, out = self.feed(0, piece)
-        return (*out, *self.finish(state))
+        out: list[int] = []
+        moves, at = self.moves, 0
+        for k, b in enumerate(piece):
+            got = moves[at].get(b)
+            if got is None:
+                state, some = self._step(self.states[at], b)
+                to = self.number.get(state[:2])
+                if to is None:
+                    if len(self.states) >= MAX_STATES:  # the rest of the way is not kept
+                        out.extend(some)
+                        for c in piece[k + 1 :]:
+                            state, some = self._step(state, c)
+                            out.extend(some)
+                        return (*out, *self._flush(state))
+                    to = self.number[state[:2]] = len(self.states)
+                    self.states.append(state)
+                    moves.append({})
+                got = moves[at][b] = (to, some)
+            at, some = got
+            if some:
+                out.extend(some)
+        end = self.ends.get(at)
+        if end is None:
+            end = self.ends[at] = self._flush(self.states[at])
+        return (*out, *end)
 
 
 class Utf8Stream:
@@ -235,17 +261,6 @@ class Codec:
         return "".join([stream.feed(self.fst.token[i]) for i in ids]) + stream.end()
 
 
-_CODECS: dict[str, Codec] = {}
-
-
-def codec(ranks: dict[bytes, int], pattern: str, name: str) -> Codec:
-    """One codec per worker process and rank table: what it has learnt is used by later tasks."""
-    if name not in _CODECS:
-        _CODECS.clear()
-        _CODECS[name] = Codec(ranks, pattern)
-    return _CODECS[name]
-
-
 def shared_ranks(spark: SparkSession, path: str):
     """The rank table (some 50,000 entries, fixed) on every executor, with its digest as name."""
     ranks = load_ranks(path)
@@ -268,7 +283,8 @@ def map_texts(df: DataFrame, ranks_path: str, pattern: str, row: Callable[[Codec
     names = [f.name for f in added.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(ranks.value, pattern, name)
+        # What a codec has learnt is used by later tasks of the worker.
+        c = hold(f"codec {name} {pattern}", lambda: Codec(ranks.value, pattern))
         for b in batches:
             got = [row(c, x.as_py() or "") for x in b.column(b.num_columns - 1)]
             cols = [pa.array([g[i] for g in got], kind) for i, kind in enumerate(kinds)]
