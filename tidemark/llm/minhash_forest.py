@@ -229,6 +229,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     across = prefix.join(other, "g").filter((F.col("c") < F.col("d")) & fits).select(F.col("node").alias("u"), "v").distinct()
     second = confirmed("second", across)
     of = components(of.unionByName(second), work, "b")
+    # The result reads rows and the last links alone.
+    for name in ("nodes", "crowded", "sets", "mixed", "prefix", "first", "second"):
+        work.drop(name)
+    work.free_shuffles()
 
     plain = rows.select("_key", "n_shingles", "node")
     placed = plain.join(of.select(F.col("u").alias("node"), "v"), "node", "left").withColumn("c", F.coalesce("v", "node")).drop("v")

@@ -408,6 +408,8 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", with_text:
     work.free_shuffles()
     deep = blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_send_deep(deep_bits, wide), PIECE)
     late = work.put("late", deep.groupBy("bucket").applyInArrow(_rank_deep(deep_bits), BITS))
+    for name in ("dealt", "shared"):  # the result reads blocks, late and rows
+        work.drop(name)
     work.free_shuffles()
     found = blocks.groupBy("block").cogroup(late.groupBy("block")).applyInArrow(_remove(wide, with_text), RESULT)
     is_copy = F.col("n_bytes") >= SIZE
