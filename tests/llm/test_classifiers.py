@@ -23,6 +23,38 @@ def test_languages(spark):
     assert np.mean([r.kept for r in got.values()]) > 0.99
 
 
+def test_pages_equal_brute_force(spark):
+    import re
+
+    import __spark_entry__ as entry
+
+    got = {r.page_id: r for r in entry.queries()["op1_language_id_pages"](spark, SF).collect()}
+    pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
+    langs, table = L.fit(spark.read.parquet(f"{SF}/documents.parquet"))
+    n, rows = len(langs), []
+    for r in pages:
+        text = re.sub(r"(?s)<[^>]*>", " ", re.sub(r"(?is)<(script|style)\b.*?</\1>", " ", r.html))
+        host = (re.match(r"(?s).*?://([^/?#]*)", r.url) or ["", ""])[1].lower()
+        end = re.search(r"\.([a-z]+)$", host)
+        said = re.search(r"(?i)<html[^>]*\blang=[\"']?([a-z]{2})", r.html)
+        rows.append((r.page_id, L.text_evidence(table, [text])[0], L.has_letter(text), host or None, end and end[1], said and said[1].lower()))
+    assert all(h and s and d for *_, h, s, d in rows)
+    soft = [np.exp(e) / np.exp(e).sum() if (e != 0).any() else np.zeros(n) for _, e, *_ in rows]
+    total = lambda at: sum((p for p, r in zip(soft, rows, strict=True) if at(r)), np.zeros(n))
+    smooth = lambda own, parent: (own + L.STRENGTH * parent) / (own.sum() + L.STRENGTH)
+    base = (total(lambda r: True) + 1) / (total(lambda r: True) + 1).sum()
+    trust = np.array([total(lambda r, d=d: r[5] == d) for d in langs]) + 0.5 + np.eye(n)
+    trust = np.log(trust / trust.sum(0))
+    assert len(got) == len(rows)
+    for k, e, letters, host, end, said in rows:
+        prior = smooth(total(lambda r: r[3:5] == (host, end)), smooth(total(lambda r: r[4] == end), base))
+        p = e + np.log(prior) + (trust[langs.index(said)] if said in langs else 0)
+        p = np.exp(p - p.max()) / np.exp(p - p.max()).sum()
+        kept = bool(letters and p.max() >= L.LEAST)
+        assert got[k].kept == kept and got[k].pred_lang == (langs[p.argmax()] if kept else "und")
+        assert abs(got[k].confidence - (p.max() if letters else 0)) < 1e-6
+
+
 def test_language_cases(spark):
     model = L.fit(spark.read.parquet(f"{SF}/documents.parquet"))
     rows = [(1, None, "h", "de"), (2, "", None, None), (3, "123 ?!", "h", None), (4, "Ouverture", "h", "fr"), (4, "Ouverture", "h", "fr"), (5, "an", None, "zz")]

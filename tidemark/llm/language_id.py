@@ -179,8 +179,8 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return of_documents(docs).select("doc_id", F.col("_lang").alias("pred_lang"), F.round("_confidence", 9).alias("confidence"), F.col("_kept").alias("kept"))
 
 
-def pages_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same for web pages, with all kinds of evidence."""
+def op1_language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for all web pages, with all kinds of evidence: text, declaration, host and address suffix."""
     from .url_filter import host_of
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("text", "lang")

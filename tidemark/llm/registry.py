@@ -19,6 +19,7 @@ from . import (
 def queries() -> dict:
     return {
         "op1_language_id": language_id.op1_language_id,
+        "op1_language_id_pages": language_id.op1_language_id_pages,
         "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
         "op3_nearest_neighbours": ann_search.op3_nearest_neighbours,
         "op4_minhash_forest": minhash_forest.op4_minhash_forest,
