@@ -9,7 +9,7 @@ n_chars follows.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import byte_bpe, decontaminate, language_id, minhash_forest, suffix_dedup
@@ -31,16 +31,14 @@ def distinct_rows(docs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five words, 0.8) the row with the smallest id stays."""
+    """Of each group of near duplicates (five words, 0.8) the row with the smallest id stays.
+
+    Ids may be null or shared: of rows with that id the one with the smallest digest of its text.
+    """
     row = distinct_rows(docs.select(*COLUMNS))
-    found = minhash_forest.near_duplicates(row, words=5)
-    kept = found.filter("kept").groupBy(F.struct("_key").alias("_k")).agg(F.count("*").alias("_n"))
-    both = row.withColumn("_k", F.struct("doc_id")).join(kept, "_k")
-    # Several rows of one id: they are of one group only if it is the id's; the first text stays.
-    if both.filter("_n > 1").limit(1).count():
-        first = Window.partitionBy("_k").orderBy(F.sha2(F.coalesce("text", F.lit("")), 256))
-        both = both.withColumn("_r", F.row_number().over(first)).filter("_r = 1")
-    return both.select(*COLUMNS)
+    kept = minhash_forest.near_duplicates(row, words=5, by_row=True).filter("kept").select("_key", "_digest")
+    same = F.col("doc_id").eqNullSafe(F.col("_key")) & F.col("_sha").eqNullSafe(F.col("_digest"))
+    return row.withColumn("_sha", minhash_forest.text_digest("text")).join(kept, same, "left_semi").select(*COLUMNS)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

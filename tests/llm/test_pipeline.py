@@ -73,3 +73,18 @@ def test_odd_rows_pass_every_stage(spark):
         got = stage(spark, d, SF).collect()
         assert len(got) <= len(rows)
         assert stage(spark, d.limit(0), SF).count() == 0
+
+
+def test_unlike_rows_of_null_or_shared_ids_stay(spark):
+    base = [f"w{i}" for i in range(60)]
+    near = " ".join([*base[:-1], "changed"])
+    unlike = [" ".join(f"{c}{i}" for i in range(30)) for c in "abcdef"]
+    rows = [(None, unlike[0]), (None, unlike[1]), (None, "alpha"), (None, "beta"), (3, unlike[2]), (3, unlike[3]), (4, None), (4, "")]
+    copies = [(5, " ".join(base)), (5, near), (7, " ".join(base)), (5, unlike[4]), (None, unlike[5]), (9, unlike[5])]
+    for some in (rows, copies, rows + copies):
+        d = spark.createDataFrame([(i, t, "en", "a", len(t or "")) for i, t in some], "doc_id long, text string, lang string, source string, n_chars long")
+        got = [(r.doc_id, r.text) for r in P.near_duplicates(spark, d, SF).collect()]
+        group = [x for x in got if x[1] and x[1].startswith("w0 ")]
+        assert len(group) == (some is not rows) and all(i == 5 for i, _ in group)
+        want = [x for x in some if x not in copies or x in [(5, unlike[4]), (None, unlike[5])]]
+        assert sorted(map(repr, (x for x in got if x not in group))) == sorted(map(repr, want))

@@ -34,11 +34,13 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, Workspace, hold, small_batches
@@ -95,6 +97,10 @@ def digest(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
+def text_digest(text: str) -> Column:
+    return F.unhex(F.sha2(F.col(text).cast("binary"), 256))
+
+
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -102,11 +108,12 @@ def _sets(size: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0),
+                    b.column(2),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([digest(s) if len(s) else None for s in sets], pa.binary()),
                     pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary()),
                 ],
-                names=["_key", "n_shingles", "node", "sig"],
+                names=["_key", "_digest", "n_shingles", "node", "sig"],
             )
 
     return run
@@ -163,15 +170,21 @@ def _confirm(num: int, den: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
-    """A row per row of docs: _key, n_shingles, component_id, kept. Similarity is at least num / den, 0.8 or more."""
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, num: int = NUM, den: int = DEN, by_row: bool = False) -> DataFrame:
+    """A row per row of docs: _key, n_shingles, component_id, kept. Similarity is at least num / den, 0.8 or more.
+
+    With by_row ids may be null or shared: _digest (SHA-256 of the text, null for a null text) tells the rows of
+    an id apart, and of each component only the row with the smallest id and then digest is kept.
+    """
     if num * 10 < den * 8:
         raise ValueError("the forest's depth is made for similarities of 0.8 or more")
     spark = docs.sparkSession
     small_batches(spark)
     work = Workspace(spark)
-    rows = work.put("rows", docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(_sets(words), "_key long, n_shingles long, node binary, sig binary"))
-    nodes = work.put("nodes", rows.filter("node is not null").groupBy("node").agg(F.min(F.struct("_key")).alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")))
+    told = docs.select(F.col(key).cast("long").alias("_key"), F.col(text), (text_digest(text) if by_row else F.lit(None).cast("binary")).alias("_digest"))
+    own = ["_key", "_digest"] if by_row else ["_key"]
+    rows = work.put("rows", told.mapInArrow(_sets(words), "_key long, _digest binary, n_shingles long, node binary, sig binary"))
+    nodes = work.put("nodes", rows.filter("node is not null").groupBy("node").agg(F.min(F.struct(*own)).alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")))
     orders = work.put("orders", nodes.select("node", "sig").mapInArrow(_trees, "region long, deeper binary, node binary"))
     crowded = orders.groupBy("region").agg(F.count("*").alias("size")).filter("size > 1")
     orders = work.put("crowded", orders.join(crowded, "region"))
@@ -190,8 +203,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     pairs = pairs.unionByName(led).distinct()
 
     # Full sets of the classes that share any region: one pass over the texts.
-    wanted = orders.select("node").distinct().join(nodes.select("node", F.col("first._key").alias("k")), "node")
-    again = docs.select(F.col(key).cast("long").alias("_key"), F.col(text)).join(wanted.select("k").distinct(), F.col("_key").eqNullSafe(F.col("k")), "left_semi")
+    wanted = orders.select("node").distinct().join(nodes.select("node", *[F.col(f"first.{c}").alias(f"w{c}") for c in own]), "node")
+    wanted = wanted.select(*[f"w{c}" for c in own]).distinct()
+    again = told.join(wanted, reduce(and_, [F.col(c).eqNullSafe(F.col(f"w{c}")) for c in own]), "left_semi").select("_key", text)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -234,14 +248,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
         work.drop(name)
     work.free_shuffles()
 
-    plain = rows.select("_key", "n_shingles", "node")
+    plain = rows.select(*own, "n_shingles", "node")
     placed = plain.join(of.select(F.col("u").alias("node"), "v"), "node", "left").withColumn("c", F.coalesce("v", "node")).drop("v")
-    least = placed.filter("c is not null").groupBy("c").agg(F.min(F.struct("_key")).alias("least"))
+    least = placed.filter("c is not null").groupBy("c").agg(F.min(F.struct(*own)).alias("least"))
     return placed.join(least, "c", "left").select(
-        "_key",
+        *own,
         "n_shingles",
         F.when(F.col("c").isNull(), F.col("_key")).otherwise(F.col("least._key")).alias("component_id"),
-    ).withColumn("kept", F.col("_key").eqNullSafe(F.col("component_id")))
+        (F.col("c").isNull() | reduce(and_, [F.col(c).eqNullSafe(F.col(f"least.{c}")) for c in own])).alias("kept"),
+    )
 
 
 def op4_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
