@@ -98,6 +98,18 @@ def test_channel_is_undone(spark):
         assert scorer.score(fine) < 0.5, fine
 
 
+def test_long_tokens_words_and_doubled_letters(spark):
+    lm = T.train_language_model(spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text"))
+    scorer = T.Scorer(lm, {"idiot$": 9.0, "stupid$": 9.0, "moron$": 9.0, "incomprehensible$": 9.0}, (-5.0, 1.0, 0.1))
+    chain = ".".join("thewordsbeforeitstupidandmanywordsafterit")
+    joined = "/".join(["some", "other", "parts", "of", "a", "long", "address", "1d10t", "and", "more"])
+    for bad in (chain, joined, joined.replace("/", "_"), "stu" + 40 * "u" + "pid", " ".join("incomprehensible"), "iidioot", "you mmoron"):
+        assert scorer.score(bad) > 0.5, bad
+    assert scorer.score(".".join(200 * "qx" + "moron" + 200 * "qx")) > 0.5
+    for fine in ("https://a-b.example.com/some/longer/path/to-a-page.html?x=1", "letter book", " ".join("harmlessletters")):
+        assert scorer.score(fine) < 0.5, fine
+
+
 def test_toxicity_cases(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "a b"), (3, "a b"), (None, "x")], "doc_id long, text string").withColumn("y", F.lit(1))
     labels = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, toxic int")

@@ -9,7 +9,9 @@ counts are gathered from all texts of the table. Tokens without traces have one
 path and stay.
 
 Restored words are looked up in a lexicon of words and word beginnings with the
-log-odds of label 1, learnt from at most ``SAMPLE`` labelled texts a class; the
+log-odds of label 1 (what long tokens hold is looked up there, but words are learnt from
+tokens of up to ``LONGEST`` signs, from parts of longer ones between signs, and from
+spaced letters), learnt from at most ``SAMPLE`` labelled texts a class; the
 score is a logistic function of a text's strongest and summed evidence, fitted
 on the same sample.
 
@@ -45,14 +47,19 @@ LOOKS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b",
 BETWEEN = ".-_*~'`^·"
 #: Log-probabilities of the channel.
 SWAP, DROP, TWICE, LOSE = -2.0, -1.0, -1.5, -9.0
-#: Longer tokens are no words: only their parts between signs are looked at.
+#: Longer tokens are read in overlapping parts, in which words may begin anywhere.
 LONGEST = 40
+#: Letters of a word in such parts while no lexicon is known.
+REACH = 12
 BEAM = 24
 
 _SIGNS = re.escape("".join(LOOKS) + BETWEEN)
 _TOKEN = re.compile(r"\S+")
-_TRACE = re.compile(rf"[^\W\d_][{_SIGNS}]|[{_SIGNS}][^\W\d_]|([^\W\d_])\1\1")
-_REPEAT = re.compile(r"([^\W\d_])\1\1")
+_TRACE = re.compile(rf"[^\W\d_][{_SIGNS}]|[{_SIGNS}][^\W\d_]|([^\W\d_])\1")
+_REPEAT = re.compile(r"([^\W\d_])\1")
+_MANY = re.compile(r"(.)\1{3,}", re.DOTALL)
+_MUTE = re.compile(rf"[^\w{re.escape(''.join(LOOKS))}]|[_·]")
+_JOINS = re.compile(rf"[{re.escape(BETWEEN)}/\\,;:&=?#]+")
 _EDGE = " .,;:?!\"()[]{}<>&%#*…«»„“”"
 _SPACED = re.compile(r"(?<![^\s])(?:[^\s][ ]){2,}[^\s](?![^\s])")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -152,22 +159,48 @@ class Reader:
         """A lower-cased token's words: as they are, and restored."""
         bare = token.strip(_EDGE)
         if bare.isalpha() and not _REPEAT.search(bare):
-            return [bare] if len(token) - len(bare) < 2 or not _TRACE.search(token) else [bare, self.restore(token[:LONGEST])]
-        found = _WORD.findall(bare)
+            return [bare] if len(token) - len(bare) < 2 or not _TRACE.search(token) else [bare, *self._word(token)]
+        found = [bare] if bare.isalpha() else _WORD.findall(bare)
         for t in (token, bare) if token != bare else (bare,):
-            if len(t) <= LONGEST and _TRACE.search(t):
-                found.append(self.restore(t))
+            if _TRACE.search(t):
+                found += self._word(t)
+        if len(token) > LONGEST:
+            for t in _JOINS.split(bare):
+                if t != bare and len(t) > 2 and _TRACE.search(t):
+                    found += self._word(t)
         return found
 
-    def spaced(self, text: str) -> list[str]:
-        """Words spelt with blanks between their letters; of long runs every part of up to LONGEST signs."""
-        out = []
+    def _word(self, token: str) -> list[str]:
+        """The token as one word; what is no word even without its repeats and signs is left to runs()."""
+        if len(token) > LONGEST:
+            token = squeeze(token)
+        return [self.restore(token)] if len(token) <= LONGEST else []
+
+    def runs(self, token: str, reach: int = REACH) -> Iterator[str]:
+        """Of a token of more than LONGEST signs: letters in which words may begin anywhere."""
+        if len(token) > LONGEST and _TRACE.search(token):
+            yield from self._parts(token, reach)
+
+    def spaced(self, text: str, reach: int = REACH) -> Iterator[str]:
+        """Words spelt with blanks between their letters."""
         for m in _SPACED.finditer(text):
-            letters = m[0].replace(" ", "")
-            for s in range(0, max(1, len(letters) - LONGEST // 2), LONGEST // 2):
-                part = letters[s : s + LONGEST]
-                out.append(part if part.isalpha() else self.restore(part))
-        return out
+            yield from self._parts(m[0].replace(" ", ""), reach)
+
+    def _parts(self, letters: str, reach: int) -> Iterator[str]:
+        """Every word of up to reach letters, each written up to three times, is whole in some part."""
+        letters = squeeze(letters)
+        step = max(LONGEST // 2, 3 * reach)
+        for s in range(0, max(1, len(letters) - step), step):
+            part = letters[s : s + 2 * step]
+            if part.isalpha():
+                yield part
+            if not part.isalpha() or _REPEAT.search(part):
+                yield decode(part, self.lm)
+
+
+def squeeze(token: str) -> str:
+    """Without signs that stand for no letter; of longer repeats three are left."""
+    return _MANY.sub(r"\1\1\1", _MUTE.sub("", token))
 
 
 def stems(word: str) -> list[str]:
@@ -183,22 +216,36 @@ def features(reader: Reader, text: str | None) -> set[str]:
     for run in reader.spaced(low):
         # Where words begin and end is not said: every place is tried.
         for a in range(len(run)):
-            found.update(f"{run[a:b]}$" for b in range(a + 3, min(len(run), a + 12) + 1))
+            found.update(f"{run[a:b]}$" for b in range(a + 3, min(len(run), a + LONGEST) + 1))
     return found
 
 
+def inside(run: str, lengths: list[int]) -> Iterator[str]:
+    """All its parts that are as long as some word of a lexicon."""
+    for n in lengths:
+        for a in range(len(run) - n + 1):
+            yield f"{run[a : a + n]}$"
+
+
 class Scorer:
     def __init__(self, lm: LanguageModel, weights: dict[str, float], fit: tuple[float, float, float]):
         self.lm, self.weights, self.fit = lm, weights, fit
         self.reader: Reader | None = None
+        #: Lengths of the lexicon's words; beginnings are not sought within runs.
+        self.lengths = sorted({n for f in weights if f.endswith("$") and (n := len(f) - 1) > 2})
+        self.reach = max(self.lengths, default=REACH)
 
     def __getstate__(self):
-        return {"lm": self.lm, "weights": self.weights, "fit": self.fit, "reader": None}
+        return {"lm": self.lm, "weights": self.weights, "fit": self.fit, "reader": None, "lengths": self.lengths, "reach": self.reach}
 
     def _token(self, t: str) -> float:
         """Evidence of a token: its strongest feature."""
         assert self.reader is not None
-        return max((self.weights.get(f, 0.0) for w in self.reader.words(t) for f in stems(w)), default=0.0)
+        own = max((self.weights.get(f, 0.0) for w in self.reader.words(t) for f in stems(w)), default=0.0)
+        return max([own, *map(self._run, self.reader.runs(t, self.reach))])
+
+    def _run(self, run: str) -> float:
+        return max((self.weights.get(f, 0.0) for f in inside(run, self.lengths)), default=0.0)
 
     def evidence(self, text: str | None) -> tuple[float, float]:
         """The strongest and the summed evidence of a text."""
@@ -215,10 +262,7 @@ class Scorer:
             self.seen = Seen()
         low = (text or "").lower()
         got = [v for v in map(self.seen.__getitem__, low.split()) if v > 0]
-        for run in self.reader.spaced(low):
-            v = max((self.weights.get(f"{run[a:b]}$", 0.0) for a in range(len(run)) for b in range(a + 3, min(len(run), a + 12) + 1)), default=0.0)
-            if v > 0:
-                got.append(v)
+        got += [v for v in map(self._run, self.reader.spaced(low, self.reach)) if v > 0]
         return (max(got, default=0.0), math.log1p(sum(got)))
 
     def score(self, text: str | None) -> float:
