@@ -67,6 +67,15 @@ def test_language_cases(spark):
     assert {r._lang for r in none} == {"und"}
 
 
+def test_declarations_are_sought_in_the_whole_text(spark):
+    said = {"de": "abab cdcd " * 20, "en": "efef ghgh " * 20}
+    known = [(t, x, -1) for x, t in said.items()] + [(f"<html lang='{x}'> {t}", None, -1) for x, t in said.items()] * 20
+    late = [("<!-- " + "- " * 3000 + f"--><html lang='{x}'> z", None, k) for k, x in enumerate(said)]
+    rows = spark.createDataFrame(known + late, "text string, lang string, k int").withColumn("source", F.lit(None).cast("string"))
+    got = {r.k: r._lang for r in L.of_documents(rows).filter("k >= 0").collect()}
+    assert got == {0: "de", 1: "en"}
+
+
 def test_hosts_and_declarations_decide_what_texts_do_not(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("text", "lang")
     model = L.fit(docs)

@@ -168,8 +168,8 @@ MARKUP = r"(?i)<html[^>]*\blang=[\"']?([a-z]{2})"
 
 
 def of_documents(docs: DataFrame) -> DataFrame:
-    """The operator on a table like documents: source is the host, a leading html tag the declaration."""
-    declared = F.nullif(F.regexp_extract(F.substring("text", 1, 2000), MARKUP, 1), F.lit(""))
+    """The operator on a table like documents: source is the host, the first html tag with a language the declaration."""
+    declared = F.nullif(F.regexp_extract("text", MARKUP, 1), F.lit(""))
     suffix = F.nullif(F.regexp_extract("source", r"\.([A-Za-z]+)$", 1), F.lit(""))
     return identify(docs, fit(docs), host=F.col("source"), suffix=suffix, declared=declared)
 
