@@ -212,3 +212,14 @@ def test_reports(spark):
     assert "| D001 | critical |" in writers.to_markdown(rows, r)
     assert "1 findings, 1 gating" in writers.to_text(rows, r)
     assert json.loads(writers.to_json([{"rule_id": "X", "severity": "low", "category": "c", "layer": "data", "score": float("nan")}]))["findings"][0]["score"] is None
+
+
+def test_mutual_information_reads_all_rows(spark):
+    n = 250_000
+    df = spark.range(n).select(F.col("id").alias("_pos"), (F.col("id") * 7919 % 1000).cast("double").alias("x"), F.when(F.col("id") * 7919 % 1000 + F.col("id") % 300 > 600, "b").alias("y"))
+    got = {r.feature: r.mi for r in predictivity.continuous_mi(df, ["x", "_pos"], "y").collect()}
+    i = np.arange(n)
+    x, y = (i * 7919 % 1000).astype(float), (i * 7919 % 1000 + i % 300 > 600).astype(float)
+    for name, v in (("x", x), ("_pos", i.astype(float))):
+        at = np.lexsort((y + 1, v))
+        assert abs(got[name] - predictivity.knn_mi(v[at], y[at] + 1)) < 1e-9

@@ -18,7 +18,6 @@ from ..deploy import ship
 
 #: Ranks are summed within this many ranges of a feature's values, then over the ranges.
 RANGES = 64
-KNN_ROWS = 200_000
 
 
 def class_folds(target: str, folds: int, key: str = "_pos") -> Column:
@@ -170,14 +169,14 @@ def knn_mi(x: np.ndarray, y: np.ndarray, k: int = 3) -> float:
     return float(max(0.0, _digamma(np.array([len(x)]))[0] + _digamma(kk).mean() - _digamma(size).mean() - _digamma(np.maximum(m, 1)).mean()))
 
 
-def continuous_mi(df: DataFrame, features: list[str], target: str, cap: int = KNN_ROWS) -> DataFrame:
-    """feature, mi of continuous features and a class, on a sample of at most ``cap`` rows."""
-    from .statistics import fixed_sample
-
+def continuous_mi(df: DataFrame, features: list[str], target: str) -> DataFrame:
+    """feature, mi of continuous features and a class, over all rows; a feature is held by one task."""
     ship(df.sparkSession)
-    m = melt(fixed_sample(df, cap), features, F.dense_rank().over(Window.orderBy(target)), F.lit(0))
+    classes = df.select(F.col(target).alias("_t")).distinct().withColumn("_class", F.dense_rank().over(Window.orderBy("_t")))
+    m = melt(df.join(classes, F.col(target).eqNullSafe(F.col("_t"))), features, F.col("_class"), F.lit(0))
 
     def one(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("x", "ascending"), ("y", "ascending")])  # ties are broken alike however rows were dealt
         v = knn_mi(t["x"].to_numpy(), t["y"].to_numpy())
         return pa.table({"feature": pa.array([t["feature"][0].as_py()]), "mi": pa.array([v])})
 

@@ -180,7 +180,7 @@ class Audit:
         train = train.filter(F.col(f"`{target}`").isNotNull())
         mi = None
         if self.numeric:
-            mi = predictivity.continuous_mi(train, self.numeric, f"`{target}`", self.c.data.sample_cap)
+            mi = predictivity.continuous_mi(train, self.numeric, f"`{target}`")
         if self.strings:
             d = predictivity.mutual_information(train, self.strings, target)
             mi = d if mi is None else mi.unionByName(d)
