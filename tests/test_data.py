@@ -223,3 +223,19 @@ def test_mutual_information_reads_all_rows(spark):
     for name, v in (("x", x), ("_pos", i.astype(float))):
         at = np.lexsort((y + 1, v))
         assert abs(got[name] - predictivity.knn_mi(v[at], y[at] + 1)) < 1e-9
+
+
+def test_all_held_out_embeddings_are_searched(spark, tmp_path):
+    from tidemark.plans import queries
+
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(200, 64))
+    for k in range(4, 200, 15):  # near copies of train rows, at distances around 0.02
+        v[k] = v[k - 1] + rng.normal(scale=0.006 + 0.0002 * k, size=64)
+    spark.createDataFrame([(i, [float(x) for x in v[i]]) for i in range(200)], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.r_pos: r.distance for r in queries.QUERIES["d002_embeddings_all"](spark, str(tmp_path)).collect()}
+    train = np.array([i for i in range(200) if i % 5 < 4])
+    best = {i: np.sqrt(((v[train] - v[i]) ** 2).mean(1).min()) for i in range(4, 200, 5)}
+    want = {i: x for i, x in best.items() if x <= 0.02}
+    assert 2 < len(want) < len(best) and got.keys() == want.keys()
+    assert all(abs(got[i] - x) < 2e-6 for i, x in want.items())

@@ -251,13 +251,21 @@ l AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM em
 d AS (SELECT r.vec_id AS r_pos, list_sum(list_transform(list_zip(l.v, r.v), lambda x: (x[1] - x[2]) ** 2)) AS s FROM r, l)
 SELECT r_pos, min(round(sqrt(s) / 8, 6)) AS distance FROM d WHERE s <= 64 * 0.02 * 0.02 GROUP BY 1""")
 def d002_embeddings(spark, d):
-    """Test rows here are slightly moved copies of train rows."""
+    """Test rows here are slightly moved copies of train rows; d002_embeddings_all searches the whole test side."""
     rows = read(spark, d, "embeddings", "vec_id", "embedding").withColumn("_pos", F.col("vec_id"))
     left = rows.filter("vec_id % 5 < 4").select("_pos", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     right = rows.filter("vec_id % 10 = 0").select("_pos", F.transform("embedding", lambda x: x.cast("double") + 0.001).alias("v"))
     return similarity.nearest_within(left, right, 0.02).select("r_pos", F.round("distance", 6).alias("distance"))
 
 
+@query()
+def d002_embeddings_all(spark, d):
+    """All of the test side against all of the train side; held against brute force."""
+    rows = read(spark, d, "embeddings", "vec_id", "embedding")
+    left, right = (x.select("_pos", F.transform("embedding", lambda v: v.cast("double")).alias("v")) for x in halves(rows, "vec_id"))
+    return similarity.nearest_within(left, right, 0.02).select("r_pos", F.round("distance", 6).alias("distance"))
+
+
 _FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_suppkey"]
 _MELT = " UNION ALL ".join(f"SELECT '{c}' AS feature, (l_orderkey % 5)::INT AS fold, {c}::DOUBLE AS x, {{y}} AS y FROM lineitem" for c in _FEATURES)
 
