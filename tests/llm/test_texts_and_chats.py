@@ -25,9 +25,10 @@ def test_bpe_equals_the_library(real, monkeypatch):
     rnd = random.Random(2)
     letters = "abcdefghijklmnopqrstuvwxyzABC     ÄäéñßÈ0123456789.,!?\n\t\x1c\x85\xa0  日本😀²'"
     texts = ["".join(rnd.choice(letters) for _ in range(rnd.randint(0, 80))) for _ in range(1500)]
-    texts += ["", " ", "<|endoftext|>", "a" * 3000, "é" * 500, "don't we'll I'd", "x" * 200 + " " * 200]
-    for states in (10, 200_000):  # a full table changes nothing
+    texts += ["", " ", "<|endoftext|>", "a" * 3000, "abc" * 30_000, "é" * 500, "don't we'll I'd", "x" * 200 + " " * 200]
+    for states, short in ((10, 256), (10, 2), (200_000, 256)):  # a full table changes nothing
         monkeypatch.setattr(byte_bpe, "MAX_STATES", states)
+        monkeypatch.setattr(byte_bpe, "SHORT", short)
         c = codec()
         for t in texts:
             ids = c.encode(t)
@@ -42,6 +43,18 @@ def test_streamed_utf8():
         assert got == data.decode("utf-8", "replace")
 
 
+def test_tokens_are_decoded_as_bytes_are(real):
+    rnd = random.Random(4)
+    c = codec()
+    some = real.encode_ordinary("日本é😀 plain text") + [rnd.randrange(50_000) for _ in range(40)]
+    for _ in range(300):
+        ids = [rnd.choice(some) for _ in range(rnd.randint(0, 12))]
+        data = c.decode_bytes(ids)
+        assert c.decode(ids) == data.decode("utf-8", "replace") and c.decoded(ids) == data
+    with pytest.raises(KeyError):
+        c.decode([10**6])
+
+
 def test_bpe_query(spark, real):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     got = byte_bpe.op6_byte_bpe(spark, SF).collect()
@@ -50,7 +63,7 @@ def test_bpe_query(spark, real):
         ids = real.encode_ordinary(docs[r.doc_id])
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256(docs[r.doc_id].encode()).hexdigest()
-    odd = spark.createDataFrame([(None, None), (1, ""), (1, "")], "doc_id long, text string").withColumn("n_tokens_", F.lit(1))
+    odd = spark.createDataFrame([(None, None), (1, ""), (1, "")], "doc_id long, text string").withColumns({"n_tokens": F.lit(1), "N_Tokens_": F.lit(1)})
     rows = byte_bpe.map_texts(odd, PATH, public_tokenizers.PATTERN, byte_bpe.digest_row, byte_bpe.DIGEST).collect()
     assert [r.n_tokens for r in rows] == [0, 0, 0]
     assert byte_bpe.map_texts(odd.limit(0), PATH, public_tokenizers.PATTERN, byte_bpe.digest_row, byte_bpe.DIGEST).count() == 0
