@@ -4,10 +4,12 @@
 2. A class has a signature of ``TREES * DEPTH`` minima. Each tree is a sorted
    order of the classes by the signature read from another place on; a region
    is a common prefix. No prefix is shorter than ``DEPTH`` (3); beyond that a
-   region's depth follows its density, because in the sorted order a class meets
-   the neighbours with which it shares the longest prefix.
-3. Neighbours in the orders are candidates, and so is each region's leader, the
-   class that shares regions with most others; each class's most frequent ones
+   region's depth adapts to its density: in the sorted order a class meets the
+   neighbours with which it shares the longest prefix, up to ``DEEPER`` minima
+   more, and where many share three minima those are longer ones.
+3. Neighbours in the orders are candidates, the ones with the longest common
+   prefixes over all trees first, and so is each region's leader, the
+   class that shares regions with most others; each class's first ones
    are confirmed on full sets and joined to components. A dense region of
    copies thus costs links in proportion to its size.
 4. So that no link between components is lost, the classes of regions that
@@ -15,8 +17,12 @@
    ordered from rare to common, two sets that are similar enough share one
    among the first n - ceil(0.8 n) + 1 of each. Classes that have a long common
    passage but are not similar have rare shingles of their own there, so a
-   dense region of such texts gives few candidates, not all its pairs. Pairs
-   across components of fitting sizes are confirmed.
+   dense region of such texts gives few candidates, not all its pairs. Each set
+   has a parity sketch: bit i says whether an odd number of its shingles fall
+   on i. Sketches differ in at most as many bits as sets differ in shingles, so
+   the join drops, without error, pairs whose sketches differ too much; of a
+   group of copies that are like one text but not like each other few pairs
+   are left. Pairs across components of fitting sizes are confirmed.
 
 A pair at the threshold of 0.8 shares no region with probability
 (1 - 0.8**3)**24 = 3e-8; more similar ones, less. Confirmation is exact: |A & B| * 100 >= 80 * |A | B| on the
@@ -35,7 +41,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import reduce
-from operator import and_
+from operator import add, and_
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +59,10 @@ SIGNATURE = TREES * DEPTH
 FIRST = 2
 #: Values of the signature after the prefix by which a region is sorted.
 DEEPER = 6
+#: Words of 64 bits of a parity sketch.
+SKETCH = 8
+#: What is joined on a key that many rows may share is repeated so many times, and the rows are dealt among the repeats.
+SALTS = 16
 
 _RNG = np.random.default_rng(7)
 _A = _RNG.integers(0, 1 << 64, SIGNATURE, np.uint64) | np.uint64(1)
@@ -93,6 +103,11 @@ def signature(s: np.ndarray) -> np.ndarray:
     return out.astype(">u4")
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    odd = np.bincount((s * _MUL >> np.uint64(55)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8")
+
+
 def digest(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
@@ -112,8 +127,9 @@ def _sets(size: int):
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([digest(s) if len(s) else None for s in sets], pa.binary()),
                     pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary()),
+                    pa.array([sketch(s) if len(s) else None for s in sets], pa.list_(pa.int64())),
                 ],
-                names=["_key", "_digest", "n_shingles", "node", "sig"],
+                names=["_key", "_digest", "n_shingles", "node", "sig", "bits"],
             )
 
     return run
@@ -135,15 +151,25 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows in sorted order: each node with the one before it in its region."""
-    last_region, last_node = None, None
+    """Of rows in sorted order: each node with the one before it in its region, and the depth of their common prefix."""
+    last = (None, b"\0" * 4 * DEEPER, None)
     for b in batches:
         if not b.num_rows:
             continue
-        region, node = b.column("region").to_pylist(), b.column("node").to_pylist()
-        pairs = [(min(p, n), max(p, n)) for q, r, p, n in zip([last_region, *region], region, [last_node, *node], node, strict=False) if q == r and p != n]
-        last_region, last_node = region[-1], node[-1]
-        yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.binary()) for i in (0, 1)], names=["u", "v"])
+        region, deeper, node = (b.column(c).to_pylist() for c in ("region", "deeper", "node"))
+        region, deeper, node = [last[0], *region], [last[1], *deeper], [last[2], *node]
+        last = (region[-1], deeper[-1], node[-1])
+        more = np.frombuffer(b"".join(deeper), "<u4").reshape(-1, DEEPER)
+        depth = DEPTH + np.cumprod(more[1:] == more[:-1], axis=1).sum(1)
+        at = [k for k in range(len(depth)) if region[k] == region[k + 1] and node[k] != node[k + 1]]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([min(node[k], node[k + 1]) for k in at], pa.binary()),
+                pa.array([max(node[k], node[k + 1]) for k in at], pa.binary()),
+                pa.array(depth[at].astype(np.int32)),
+            ],
+            names=["u", "v", "depth"],
+        )
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,6 +196,13 @@ def _confirm(num: int, den: int):
     return run
 
 
+def salted(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Left join to at most one row a key, however many rows of left have the key."""
+    l = left.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+    r = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return l.join(r, [key, "_salt"], "left").drop("_salt")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, num: int = NUM, den: int = DEN, by_row: bool = False) -> DataFrame:
     """A row per row of docs: _key, n_shingles, component_id, kept. Similarity is at least num / den, 0.8 or more.
 
@@ -183,14 +216,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     work = Workspace(spark)
     told = docs.select(F.col(key).cast("long").alias("_key"), F.col(text), (text_digest(text) if by_row else F.lit(None).cast("binary")).alias("_digest"))
     own = ["_key", "_digest"] if by_row else ["_key"]
-    rows = work.put("rows", told.mapInArrow(_sets(words), "_key long, _digest binary, n_shingles long, node binary, sig binary"))
-    nodes = work.put("nodes", rows.filter("node is not null").groupBy("node").agg(F.min(F.struct(*own)).alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")))
+    full = work.put("full", told.mapInArrow(_sets(words), "_key long, _digest binary, n_shingles long, node binary, sig binary, bits array<long>"))
+    rows = work.put("rows", full.select(*own, "n_shingles", "node"))
+    nodes = full.filter("node is not null").groupBy("node").agg(
+        F.min(F.struct(*own)).alias("first"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("bits").alias("bits")
+    )
+    nodes = work.put("nodes", nodes)
+    work.drop("full")
     orders = work.put("orders", nodes.select("node", "sig").mapInArrow(_trees, "region long, deeper binary, node binary"))
     crowded = orders.groupBy("region").agg(F.count("*").alias("size")).filter("size > 1")
     orders = work.put("crowded", orders.join(crowded, "region"))
     work.drop("orders")
     ordered = orders.repartitionByRange("region", "deeper", "node").sortWithinPartitions("region", "deeper", "node")
-    near = ordered.mapInArrow(_neighbours, "u binary, v binary").groupBy("u", "v").agg(F.count("*").alias("n"))
+    near = ordered.mapInArrow(_neighbours, "u binary, v binary, depth int").groupBy("u", "v").agg(F.sum("depth").alias("n"))
     best = Window.partitionBy("v").orderBy(F.desc("n"), "u")
     pairs = near.withColumn("k", F.row_number().over(best)).filter(F.col("k") <= FIRST).select("u", "v")
     # Copies of one text may be less similar to each other than to it. It then shares most regions with
@@ -228,34 +266,39 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     # Classes of regions that still hold several components: an exact join across components.
     named = orders.select("region", "node").join(of.select(F.col("u").alias("node"), "v"), "node", "left").select("region", "node", F.coalesce("v", "node").alias("c"))
     split = named.groupBy("region").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("region")
-    mixed = work.put("mixed", named.join(split, "region").select("node", "c").distinct().join(nodes.select("node", "n_shingles"), "node"))
+    mixed = work.put("mixed", named.join(split, "region").select("node", "c").distinct().join(nodes.select("node", "n_shingles", "bits"), "node"))
     token = work.put("tokens", mixed.select("node").join(sets, "node").mapInArrow(_tokens, "node binary, g long"))
     shared = token.join(token.groupBy("g").agg(F.count("*").alias("df")).filter("df > 1"), "g")
     held = shared.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("gs")).join(mixed, "node")
     # Shingles that no other class has come first and join nothing.
     n = F.col("n_shingles")
     first_n = n - F.floor((n * num + den - 1) / den).cast("long") + 1 - (n - F.size("gs"))
-    prefix = held.filter(first_n > 0).select("node", "c", "n_shingles", F.explode(F.slice("gs", F.lit(1), first_n.cast("int"))).alias("t")).select("node", "c", "n_shingles", "t.g")
+    prefix = held.filter(first_n > 0).select("node", "c", "n_shingles", "bits", F.explode(F.slice("gs", F.lit(1), first_n.cast("int"))).alias("t")).select("node", "c", "n_shingles", "bits", "t.g")
     prefix = work.put("prefix", prefix)
     work.drop("tokens")
-    other = prefix.select("g", F.col("node").alias("v"), F.col("c").alias("d"), F.col("n_shingles").alias("m"))
+    other = prefix.select("g", F.col("node").alias("v"), F.col("c").alias("d"), F.col("n_shingles").alias("m"), F.col("bits").alias("bits2"))
     fits = (den * F.least("n_shingles", "m")) >= (num * F.greatest("n_shingles", "m"))
-    across = prefix.join(other, "g").filter((F.col("c") < F.col("d")) & fits).select(F.col("node").alias("u"), "v").distinct()
+    apart = reduce(add, [F.bit_count(F.get("bits", F.lit(i)).bitwiseXOR(F.get("bits2", F.lit(i)))) for i in range(SKETCH)])
+    # |A & B| is num / (num + den) of |A| + |B| at least, so the sets differ in the rest at most.
+    alike = apart * (den + num) <= (F.col("n_shingles") + F.col("m")) * (den - num)
+    across = prefix.join(other, "g").filter((F.col("c") < F.col("d")) & fits & alike).select(F.col("node").alias("u"), "v").distinct()
     second = confirmed("second", across)
     of = components(of.unionByName(second), work, "b")
-    # The result reads rows and the last links alone.
-    for name in ("nodes", "crowded", "sets", "mixed", "prefix", "first", "second"):
+    # Per class that is not alone, or has several rows: the first row of its component.
+    named = of.unionByName(of.select(F.col("v").alias("u"), "v").distinct()).select(F.col("u").alias("node"), "v")
+    many = nodes.select("node", "first", "copies").join(named, "node", "left").filter("v is not null or copies > 1")
+    least = many.filter("v is not null").groupBy("v").agg(F.min("first").alias("least"))
+    many = salted(many, least, "v").select("node", F.coalesce("least", "first").alias("least"))
+    many = work.put("many", many)
+    # The result reads rows and these alone.
+    for name in ("nodes", "crowded", "sets", "mixed", "prefix", "first", "second", *[f"{c}{k}" for c in "ab" for k in range(64)]):
         work.drop(name)
     work.free_shuffles()
-
-    plain = rows.select(*own, "n_shingles", "node")
-    placed = plain.join(of.select(F.col("u").alias("node"), "v"), "node", "left").withColumn("c", F.coalesce("v", "node")).drop("v")
-    least = placed.filter("c is not null").groupBy("c").agg(F.min(F.struct(*own)).alias("least"))
-    return placed.join(least, "c", "left").select(
+    return salted(rows, many, "node").select(
         *own,
         "n_shingles",
-        F.when(F.col("c").isNull(), F.col("_key")).otherwise(F.col("least._key")).alias("component_id"),
-        (F.col("c").isNull() | reduce(and_, [F.col(c).eqNullSafe(F.col(f"least.{c}")) for c in own])).alias("kept"),
+        F.when(F.col("least").isNull(), F.col("_key")).otherwise(F.col("least._key")).alias("component_id"),
+        (F.col("least").isNull() | reduce(and_, [F.col(c).eqNullSafe(F.col(f"least.{c}")) for c in own])).alias("kept"),
     )
 
 
