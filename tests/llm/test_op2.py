@@ -42,7 +42,7 @@ def test_cases(spark, monkeypatch, wide):
     docs = [(5, p), (9, "x" + p + "y"), (3, word(40) + p[:120] + word(30)), (4, q), (6, q), (None, p[20:]), (7, "z" * 700), (8, None), (10, "")]
     docs += [(11, p), (12, p[:100] + q + p[50:]), (12, "other " + p[:110]), (13, q + "!" + q), (14, word(3000)), (15, word(500) + p)]
     if wide:
-        monkeypatch.setattr(S, "NARROW", 0)
+        monkeypatch.setattr(S, "wider", lambda total: 3)
     monkeypatch.setattr(S, "BLOCK", 600)
     df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as block", "2 as n_bytes")
     # Rows with the same id are taken by the digest of their text.

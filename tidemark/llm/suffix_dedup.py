@@ -23,13 +23,19 @@ other way: about 0.6 bytes a byte of text for the sample, some 6 a byte of
 passages that are repeated. A task holds one block (``BLOCK`` bytes, or one
 longer document) or one bucket (``BUCKET`` bytes).
 
-The fingerprint of 100 bytes has 64 bits: with n candidate suffixes the odds
-that any two different ones meet are n*n/2**65, 1e-3 for 2e8. ``wide`` adds
-32 bits for larger tables and is set from the size of the input.
+A fingerprint of 100 bytes has 64 bits and as many bytes more as keep the odds
+that any two different ones among the text's n bytes meet below 1/32: about
+2 log2(n) + 4 bits, 64 up to 1 GB of text, 80 at 40 GB, 104 at 100 TB. It is a
+tree of multiplications with a non-linear step after each, so regular texts
+meet as seldom as others. Suffixes are thus ordered by fingerprint and not by
+letter: their first 57 letters would be 57 bytes a suffix on the way to its
+bucket, where a fingerprint is some 6.
 
 Defined results: null is the empty text; ids order as numbers, null first, rows
 with the same id by digest of their text; a row that repeats id and text is a
-later copy. Texts under 100 bytes stay. Other columns are ignored.
+later copy. Texts under 100 bytes stay. Other columns are ignored by
+``repeats`` and kept by ``without_repeats``. Very long texts are a block of
+their own.
 """
 
 from __future__ import annotations
@@ -42,8 +48,9 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from .common import Workspace, hold, small_batches
 
@@ -53,8 +60,8 @@ assert {(a - b) % PERIOD for a in COVER for b in COVER} == set(range(PERIOD))
 DEPTH = SIZE - PERIOD + 1
 BLOCK, BUCKET = 2 << 20, 12 << 20
 STEP = 1 << 20
-#: Up to this many bytes of text 64 bits tell suffixes apart.
-NARROW = 1 << 33
+#: Buckets are at most 2 to this power: beyond some 15 TB of text a bucket grows with it, to about 100 MB at 100 TB.
+MOST_BITS = 20
 
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(0, 1 << 64, (2, 256), np.uint64)
@@ -68,14 +75,20 @@ def prints(data: np.ndarray, size: int, which: int = 0) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, np.uint64)
     level, m, out, done = _BYTE[which][data], 1, None, 0
+    times = lambda k: np.uint64(pow(_BASE[which], k, 1 << 64))
+
+    def mixed(x: np.ndarray) -> np.ndarray:
+        x ^= x >> np.uint64(29)
+        return x
+
     while True:
         if size & m:
             part = level[done : done + n]
-            out = part.copy() if out is None else out * np.uint64(pow(_BASE[which], m, 1 << 64)) + part
+            out = part.copy() if out is None else mixed(out * times(m) + part)
             done += m
         if m * 2 > size:
             break
-        level = level[:-m] * np.uint64(pow(_BASE[which], m, 1 << 64)) + level[m:]
+        level = mixed(level[:-m] * times(m) + level[m:])
         m *= 2
     out ^= out >> np.uint64(32)
     out *= np.uint64(0xD6E8FEB86659FD93)
@@ -119,6 +132,11 @@ class Block:
         return covered(first[ok], last[ok] + 1, len(self.data))
 
 
+def wider(total: int) -> int:
+    """Bytes of a fingerprint beyond the first eight, for so many bytes of text."""
+    return min(8, max(0, math.ceil((2 * math.log2(max(2, total)) + 4 - 64) / 8)))
+
+
 def covered(first: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
     """Places in any of the ranges."""
     turn = np.bincount(first, minlength=n + 1) - np.bincount(end, minlength=n + 1)
@@ -225,10 +243,10 @@ def _read_bits(rows: list[dict], n: int) -> np.ndarray:
     return out
 
 
-def _deep(block: Block, places: np.ndarray, wide: bool):
+def _deep(block: Block, places: np.ndarray, wide: int):
     """Fingerprints of the candidates at full depth: order (by value, then place), firsts in that order, both values."""
     h = prints_at(block.data, places, SIZE)
-    g = prints_at(block.data, places, SIZE, 1) >> np.uint64(32) if wide else None
+    g = prints_at(block.data, places, SIZE, 1) >> np.uint64(64 - 8 * wide) if wide else None
     order = np.lexsort((g, h)) if wide else np.argsort(h, kind="stable")
     s = h[order]
     new = np.concatenate([[True], s[1:] != s[:-1]]) if len(s) else np.zeros(0, bool)
@@ -239,7 +257,7 @@ def _deep(block: Block, places: np.ndarray, wide: bool):
     return order, new, s[new], None
 
 
-def _send_deep(bits: int, wide: bool):
+def _send_deep(bits: int, wide: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
         for row in left.to_pylist():
@@ -257,13 +275,13 @@ def _send_deep(bits: int, wide: bool):
                 if e > a:
                     gaps = np.diff(h[a:e], prepend=np.uint64(k << (64 - bits)))
                     width, data, odd = pack_gaps(gaps)
-                    rows.append((row["block"], k, int(e - a), width, data, to_bytes(g[a:e], 4) if wide else None, odd))
+                    rows.append((row["block"], k, int(e - a), width, data, to_bytes(g[a:e], wide) if wide else None, odd))
         return _piece(rows)
 
     return run
 
 
-def _rank_deep(bits: int):
+def _rank_deep(bits: int, wide: int):
     def run(t: pa.Table) -> pa.Table:
         """One bucket: which suffixes an earlier block has, too."""
         rows = sorted(t.to_pylist(), key=lambda r: r["block"])
@@ -271,8 +289,8 @@ def _rank_deep(bits: int):
             return _bits([(r["block"], -1, r["n"], r["data"]) for r in rows])
         base = np.uint64(rows[0]["bucket"] << (64 - bits))
         h = np.concatenate([np.cumsum(read_gaps(r), dtype=np.uint64) + base for r in rows])
-        if rows[0]["more"] is not None:
-            g = np.concatenate([from_bytes(r["more"], 4) for r in rows])
+        if wide:
+            g = np.concatenate([from_bytes(r["more"], wide) for r in rows])
             order = np.lexsort((g, h))
             s, u = h[order], g[order]
             again = np.concatenate([[False], (s[1:] == s[:-1]) & (u[1:] == u[:-1])])
@@ -291,12 +309,25 @@ def _rank_deep(bits: int):
     return run
 
 
-RESULT = "_key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>, _digest binary, kept binary"
+RESULT = "_key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>, _digest binary, kept string, carried string"
 
 
-def _remove(wide: bool, with_text: bool):
+def whole_characters(data: bytes, spans: list[int]) -> str:
+    """What the spans leave of a text; characters that a cut would split stay whole."""
+    out, at = [], 0
+    for a, b in zip(spans[::2], spans[1::2], strict=True):
+        while a < b and data[a] & 0xC0 == 0x80:
+            a += 1
+        while b < len(data) and b > a and data[b] & 0xC0 == 0x80:
+            b -= 1
+        out.append(data[at:a])
+        at = b
+    return b"".join([*out, data[at:]]).decode("utf-8", "surrogatepass")
+
+
+def _remove(wide: int, with_text: bool):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        cols: list[list] = [[] for _ in range(8)]
+        cols: list[list] = [[] for _ in range(9)]
         bits = right.to_pylist()
         for row in left.to_pylist():
             block = Block(row)
@@ -314,11 +345,13 @@ def _remove(wide: bool, with_text: bool):
             for k, (s, e) in enumerate(zip(block.starts, block.starts[1:], strict=False)):
                 mine = slice(a[k], a[k + 1])
                 n = int((stop[mine] - edge[mine]).sum())
-                kept = block.data[s:e][~gone[s:e]].tobytes() if n else block.data[s:e].tobytes()
-                spans = np.stack([edge[mine], stop[mine]], 1).ravel() - s
-                for c, v in zip(cols, (ids[k], int(e - s), n, len(edge[mine]), hashlib.sha256(kept).hexdigest(), spans.tolist(), row["digests"][k], kept if with_text else None), strict=True):
+                text = block.data[s:e].tobytes()
+                kept = block.data[s:e][~gone[s:e]].tobytes() if n else text
+                spans = (np.stack([edge[mine], stop[mine]], 1).ravel() - s).tolist()
+                left_text = whole_characters(text, spans) if with_text else None
+                for c, v in zip(cols, (ids[k], int(e - s), n, len(edge[mine]), hashlib.sha256(kept).hexdigest(), spans, row["digests"][k], left_text, row["carried"][k]), strict=True):
                     c.append(v)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.binary(), pa.binary())
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.binary(), pa.string(), pa.string())
         names = [x.strip().split(" ")[0] for x in RESULT.split(",")]
         return pa.table({n: pa.array(c, k) for n, c, k in zip(names, cols, kinds, strict=True)})
 
@@ -336,8 +369,9 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array([hashlib.sha256(x).digest() for x in texts], pa.binary()),
                 pa.array([len(x) for x in texts], pa.int64()),
                 pa.array([squeeze.compress(x) if len(x) >= SIZE else None for x in texts], pa.binary()),
+                b.column(2),
             ],
-            names=["_key", "_digest", "n_bytes", "z"],
+            names=["_key", "_digest", "n_bytes", "z", "carried"],
         )
 
 
@@ -366,6 +400,7 @@ def _join_block(t: pa.Table) -> pa.Table:
             "block": pa.array([rows[0]["block"]], pa.int64()),
             "keys": pa.array([[r["_key"] for r in rows]], pa.list_(pa.int64())),
             "digests": pa.array([[r["_digest"] for r in rows]], pa.list_(pa.binary())),
+            "carried": pa.array([[r["carried"] for r in rows]], pa.list_(pa.string())),
             "sizes": pa.array([np.array([r["n_bytes"] for r in rows], "<i8").tobytes()], pa.binary()),
             "total": pa.array([len(text)], pa.int64()),
             "z": pa.array([zstandard.compress(text, 3)], pa.binary()),
@@ -373,16 +408,18 @@ def _join_block(t: pa.Table) -> pa.Table:
     )
 
 
-BLOCKS = "block long, keys array<long>, digests array<binary>, sizes binary, total long, z binary"
+BLOCKS = "block long, keys array<long>, digests array<binary>, carried array<string>, sizes binary, total long, z binary"
 
 
-def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
+def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", with_text: bool = False, carry: Column | None = None) -> DataFrame:
     """A row per row of docs: _key, n_bytes, n_removed, n_spans, kept_sha256, spans, _digest and,
-    if asked for, the kept bytes of rows whose text was not removed whole for being a copy."""
+    if asked for, of texts of 100 bytes or more that are no copies what is left of the text in whole
+    characters (kept), and a string column that travels along (carried)."""
     spark = docs.sparkSession
     small_batches(spark)
     work = Workspace(spark)
-    raw = work.put("raw", docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(_read, "_key long, _digest binary, n_bytes long, z binary"))
+    along = (carry if carry is not None else F.lit(None)).cast("string").alias("carried")
+    raw = work.put("raw", docs.select(F.col(key).cast("long").alias("_key"), F.col(text), along).mapInArrow(_read, "_key long, _digest binary, n_bytes long, z binary, carried string"))
     # Rows of each (id, text), and whether it is the first with its text.
     rows = raw.groupBy("_key", "_digest", "n_bytes").agg(F.count("*").alias("copies"))
     # Joined on text and id together, so that no text's copies meet in one task.
@@ -392,9 +429,9 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", with_text:
     rows = work.put("rows", found.withColumn("is_first", F.col("_fd").isNotNull()).drop("_fd", "_fk"))
     whole = rows.filter("is_first")
     total = whole.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("n")).first()["n"]
-    bits = min(16, max(3, math.ceil(math.log2(max(2.0, total * len(COVER) / PERIOD * 5 / BUCKET)))))
-    deep_bits = min(16, max(3, math.ceil(math.log2(max(2.0, total / 4 * 8 / BUCKET)))))
-    wide = total > NARROW
+    bits = min(MOST_BITS, max(3, math.ceil(math.log2(max(2.0, total * len(COVER) / PERIOD * 5 / BUCKET)))))
+    deep_bits = min(MOST_BITS, max(3, math.ceil(math.log2(max(2.0, total / 4 * 8 / BUCKET)))))
+    wide = wider(total)
     dealt = whole.select("_key", "_digest", "n_bytes").repartitionByRange(F.asc_nulls_first("_key"), "_digest").sortWithinPartitions(F.asc_nulls_first("_key"), "_digest")
     dealt = work.put("dealt", dealt.mapInArrow(_deal, "_key long, _digest binary, n_bytes long, block long"))
     d = dealt.select(F.col("_key").alias("k"), F.col("_digest").alias("g"), "block")
@@ -407,7 +444,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", with_text:
     shared = work.put("shared", sample.groupBy("bucket").applyInArrow(_rank_sample, BITS))
     work.free_shuffles()
     deep = blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_send_deep(deep_bits, wide), PIECE)
-    late = work.put("late", deep.groupBy("bucket").applyInArrow(_rank_deep(deep_bits), BITS))
+    late = work.put("late", deep.groupBy("bucket").applyInArrow(_rank_deep(deep_bits, wide), BITS))
     for name in ("dealt", "shared"):  # the result reads blocks, late and rows
         work.drop(name)
     work.free_shuffles()
@@ -422,12 +459,28 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", with_text:
         F.lower(F.hex(F.when(is_copy, F.unhex(F.lit(hashlib.sha256(b"").hexdigest()))).otherwise(F.col("_digest")))).alias("kept_sha256"),
         F.when(is_copy, F.array(F.lit(0).cast("long"), F.col("n_bytes"))).otherwise(F.array().cast("array<long>")).alias("spans"),
         "_digest",
-        F.lit(None).cast("binary").alias("kept"),
+        F.lit(None).cast("string").alias("kept"),
+        F.lit(None).cast("string").alias("carried"),
         F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("_nth"),
     ).drop("_nth")
     return found.unionByName(copies)
 
 
+def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with its columns and a column _n_removed: repeated passages are cut from the texts, in whole
+    characters. Rows of which nothing is left go, and so do later rows with an earlier one's id and text."""
+    rest = [c for c in docs.columns if c not in (key, text)]
+    kinds = {f.name: f.dataType for f in docs.schema.fields}
+    short = F.coalesce(F.octet_length(text), F.lit(0)) < SIZE
+    # Other columns travel with the blocks, so that no text is joined to them again.
+    packed = F.to_json(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(rest)])) if rest else F.lit(None)
+    form = StructType([StructField(f"c{i}", kinds[c]) for i, c in enumerate(rest)])
+    found = repeats(docs.filter(~short), key, text, True, packed).filter("length(kept) > 0")
+    found = found.withColumn("_c", F.from_json("carried", form) if rest else F.lit(None))
+    cut = found.select(*[(F.col("_key").cast(kinds[c]) if c == key else F.col("kept") if c == text else F.col(f"_c.c{rest.index(c)}")).alias(c) for c in docs.columns], F.col("n_removed").alias("_n_removed"))
+    return cut.unionByName(docs.filter(short).withColumn("_n_removed", F.lit(0).cast("long")))
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return repeats(docs).select(F.col("_key").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
