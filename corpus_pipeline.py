@@ -8,18 +8,37 @@ n_chars follows.
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import byte_bpe, decontaminate, language_id, minhash_forest, suffix_dedup
-from tidemark.llm.common import Workspace
+from tidemark.llm.common import Workspace, close_unread, gathering
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+#: Working tables of stages called before; the next stage deletes those it does not read.
+_BEFORE: list[Workspace] = []
+
+
+def stage(make):
+    """A stage's result is to be written before the next stage is called: then its working tables go."""
+
+    @wraps(make)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        close_unread(_BEFORE, docs)
+        with gathering(_BEFORE):
+            return make(spark, docs, sf_dir)
+
+    return run
+
+
+@stage
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose language is not recognised go."""
+    """Rows whose language is not recognised go: null and empty texts, and those without letters, too."""
     return language_id.of_documents(docs.select(*COLUMNS)).filter("_kept").select(*COLUMNS)
 
 
@@ -30,6 +49,7 @@ def distinct_rows(docs: DataFrame) -> DataFrame:
     return docs.dropDuplicates(["doc_id", "text"]) if again.limit(1).count() else docs
 
 
+@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five words, 0.8) the row with the smallest id stays.
 
@@ -41,47 +61,36 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return row.withColumn("_sha", minhash_forest.text_digest("text")).join(kept, same, "left_semi").select(*COLUMNS)
 
 
+@stage
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 100 bytes or more that occur earlier go; characters that a cut would split stay whole.
 
-    A text of which nothing is left goes with its row.
+    A text of which nothing is left goes with its row. Null and short texts stay. Of rows with the
+    same id and text one stays; other rows of a shared or null id are told apart by their texts.
     """
-    row = distinct_rows(docs.select(*COLUMNS))
-    found = suffix_dedup.repeats(row).filter("n_removed > 0").select("_key", "_digest", "spans")
-    sha = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
-    both = row.withColumn("_sha", sha).join(found, (F.col("_sha") == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("_key")), "left")
-
-    def cut(text: str | None, spans) -> str | None:
-        if spans is None or not len(spans):
-            return text
-        data = text.encode("utf-8", "surrogatepass")
-        out, at = [], 0
-        for a, b in zip(spans[::2], spans[1::2], strict=True):
-            while a < b and data[a] & 0xC0 == 0x80:
-                a += 1
-            while b < len(data) and b > a and data[b] & 0xC0 == 0x80:
-                b -= 1
-            out.append(data[at:a])
-            at = b
-        return b"".join([*out, data[at:]]).decode("utf-8", "surrogatepass")
-
-    shorten = F.udf(cut, "string", useArrow=True)
-    cut_text = both.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(shorten("text", "spans")))
-    left = cut_text.filter("spans is null or length(text) > 0")
-    return left.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*COLUMNS)
+    cut = suffix_dedup.without_repeats(distinct_rows(docs.select(*COLUMNS)))
+    changed = F.when(F.col("_n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return cut.withColumn("n_chars", changed).select(*COLUMNS)
 
 
+@stage
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows with benchmark passages on a twentieth of their words or more go."""
+    """Rows go that hold a full window of 13 benchmark words, or a shorter item on a twentieth of their words or more.
+
+    Rows without words (null, empty) stay; rows of a shared or null id are told apart by their texts.
+    """
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     row = docs.select(*COLUMNS)
-    keyed = row.withColumn("_key", F.xxhash64("doc_id", "text"))  # ids may be null or shared
-    bad = decontaminate.digest(decontaminate.contamination(keyed, bench)).filter("contaminated").select("_key").distinct()
-    return keyed.join(bad, "_key", "left_anti").select(*COLUMNS)
+    found = decontaminate.digest(decontaminate.contamination(row, bench, key="doc_id", digest=True))
+    bad = found.filter(F.col("contaminated") | (F.col("n_hit") >= decontaminate.WINDOW)).select("_key", "_digest").distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_key")) & F.col("_sha").eqNullSafe(F.col("_digest"))
+    sha = F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    return row.withColumn("_sha", sha).join(bad, same, "left_anti").select(*COLUMNS)
 
 
+@stage
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every text, and digests of them and of what they decode to."""
+    """Ids of every text, and digests of them and of what they decode to; a null text has no ids."""
 
     def row(c: byte_bpe.Codec, text: str) -> tuple:
         ids = c.encode(text)
@@ -106,7 +115,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written and read again."""
     work = Workspace(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = work.put(name, stage(spark, docs, sf_dir))
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, make in STAGES[:-1]:
+        docs = work.put(name, make(spark, docs, sf_dir))
+        if before:
+            work.drop(before)
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -22,8 +22,10 @@ columns are ignored. A text of any length is one document of one block.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
-from itertools import count
+from functools import reduce
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -40,15 +42,16 @@ SLICE = 2_000_000
 _KEEP = set(range(0x30, 0x3A)) | set(range(0x61, 0x7B)) | set(range(0x80, 0x100))
 _TABLE = bytes(b if b in _KEEP else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 
-INDEX = "block long, term binary, n int, places binary, ids binary"
+INDEX = "block long, term binary, n int, places binary, ids binary, digests binary"
 
 
 def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_TABLE).split() if text else []
 
 
-def _index_block(block: int, ids: bytes, texts) -> pa.RecordBatch:
+def _index_block(block: int, ids: bytes, texts, digest: bool = False) -> pa.RecordBatch:
     """A block's lists, by term; the row without a term tells its documents apart."""
+    shas = b"".join(hashlib.sha256((x.as_py() or "").encode("utf-8", "surrogatepass")).digest() for x in texts) if digest else b""
     number = {}
     fresh = count()
     coded, sizes = [], []
@@ -83,8 +86,9 @@ def _index_block(block: int, ids: bytes, texts) -> pa.RecordBatch:
             pa.array(np.concatenate([n, [len(sizes)]]).astype(np.int32)),
             pa.concat_arrays([lists, pa.array([starts.astype("<i8").tobytes()], pa.binary())]),
             pa.concat_arrays([pa.nulls(len(n), pa.binary()), pa.array([ids], pa.binary())]),
+            pa.concat_arrays([pa.nulls(len(n), pa.binary()), pa.array([shas], pa.binary())]),
         ],
-        names=["block", "term", "n", "places", "ids"],
+        names=["block", "term", "n", "places", "ids", "digests"],
     )
 
 
@@ -98,14 +102,14 @@ def unpack_ids(b) -> pa.Array:
     return pa.array(np.frombuffer(b, "<i8", n), mask=np.frombuffer(b, np.uint8, n, 8 * n).astype(bool))
 
 
-def build_index(docs: DataFrame, key: str = "_key", text: str = "text") -> DataFrame:
-    """Postings of every word of every document."""
+def build_index(docs: DataFrame, key: str = "_key", text: str = "text", digest: bool = False) -> DataFrame:
+    """Postings of every word of every document, and if asked for each text's SHA-256 (a null text is empty)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold("index")
         part = TaskContext.get().partitionId()
         for k, b in enumerate(batches):
-            yield _index_block((part << 32) + k, pack_ids(b.column(0)), b.column(1))
+            yield _index_block((part << 32) + k, pack_ids(b.column(0)), b.column(1), digest)
 
     return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(run, INDEX)
 
@@ -180,7 +184,7 @@ class Probe:
             yield np.full(len(at), w), at
 
     def block(self, t: pa.Table, slop: int | None):
-        """Per document of a block: id, words, hit runs, items that occur, items near."""
+        """Per document of a block: id, words, digest, hit runs, items that occur, items near."""
         term = t["term"].to_pylist()
         places = t["places"].combine_chunks() if t.num_rows else None
         own = term.index(None)
@@ -214,6 +218,8 @@ class Probe:
         hit = np.cumsum(edge[:-1]) > 0
         turn = np.flatnonzero(np.diff(hit.astype(np.int8), prepend=0, append=0)).reshape(-1, 2)
         n = len(ids)
+        shas = t["digests"].combine_chunks()[own].as_py()
+        shas = [shas[k : k + 32] for k in range(0, len(shas), 32)] or [None] * n
         doc = np.searchsorted(starts, turn[:, 0], "right") - 1
         runs: list[list[int]] = [[] for _ in range(n)]
         for d, (a, b) in zip(doc, turn, strict=True):
@@ -224,14 +230,14 @@ class Probe:
             for x in np.unique(np.concatenate(got)):
                 items[x // len(self.names)].append(self.names[x % len(self.names)])
             cols.append(items)
-        return ids, np.diff(starts) - 1, runs, *cols
+        return ids, np.diff(starts) - 1, shas, runs, *cols
 
 
-HITS = "_key long, block long, nth int, n_words long, runs array<int>, items array<string>, near array<string>"
+HITS = "_key long, block long, nth int, _digest binary, n_words long, runs array<int>, items array<string>, near array<string>"
 
 
-def search(index: DataFrame, items: list[tuple[str, list[bytes]]], width: int = WINDOW, slop: int | None = None) -> DataFrame:
-    """Per document its hit runs (start, end, start, end ...) and items, for a bounded chunk of items."""
+def search(index: DataFrame, items: list[tuple[str, list[bytes]]], width: int = WINDOW, slop: int | None = None):
+    """Per document its hit runs (start, end, start, end ...) and items, for a bounded chunk of items; and what was broadcast for it."""
     spark = index.sparkSession
     windows = windows_of(items, width)
     vocabulary = spark.createDataFrame([(bytearray(t),) for t in sorted({t for w in windows for t in w})], "term binary")
@@ -240,12 +246,13 @@ def search(index: DataFrame, items: list[tuple[str, list[bytes]]], width: int =
     probe = spark.sparkContext.broadcast(Probe(windows, df, width))
 
     def run(t: pa.Table) -> pa.Table:
-        ids, n_words, runs, found, near = probe.value.block(t, slop)
+        ids, n_words, shas, runs, found, near = probe.value.block(t, slop)
         return pa.table(
             {
                 "_key": ids,
                 "block": pa.array(np.full(len(ids), t["block"][0].as_py())),
                 "nth": pa.array(np.arange(len(ids), dtype=np.int32)),
+                "_digest": pa.array(shas, pa.binary()),
                 "n_words": pa.array(n_words.astype(np.int64)),
                 "runs": pa.array(runs, pa.list_(pa.int32())),
                 "items": pa.array(found, pa.list_(pa.string())),
@@ -254,7 +261,7 @@ def search(index: DataFrame, items: list[tuple[str, list[bytes]]], width: int =
         )
 
     wanted = index.join(known.withColumn("_in", F.lit(1)), "term", "left").filter("_in = 1 or term is null").drop("_in")
-    return wanted.groupBy("block").applyInArrow(run, HITS)
+    return wanted.groupBy("block").applyInArrow(run, HITS), probe
 
 
 def _union(runs):
@@ -288,19 +295,26 @@ def item_chunks(benchmark: DataFrame, id_col: str, text_col: str, limit: int) ->
     yield chunk
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "_key", text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WINDOW, slop: int | None = None, chunk_words: int = CHUNK_WORDS) -> DataFrame:
-    """Per document: key, n_words, runs (hit words), items, near."""
+def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "_key", text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WINDOW, slop: int | None = None, chunk_words: int = CHUNK_WORDS, digest: bool = False) -> DataFrame:
+    """Per document: _key, _digest (SHA-256 of the text, if asked for), n_words, runs (hit words), items, near."""
     spark = docs.sparkSession
     small_batches(spark)
     work = Workspace(spark)
-    index = work.put("index", build_index(docs, key, text))
-    found = [search(index, chunk, width, slop) for chunk in item_chunks(benchmark, item_id, item_text, chunk_words)]
-    if len(found) == 1:
-        return found[0]
-    both = found[0]
-    for x in found[1:]:
-        both = both.unionByName(x)
-    return both.groupBy("_key", "block", "nth", "n_words").agg(
+    index = work.put("index", build_index(docs, key, text, digest))
+    chunks = item_chunks(benchmark, item_id, item_text, chunk_words)
+    first = next(chunks)
+    second = next(chunks, None)
+    if second is None:
+        return search(index, first, width, slop)[0]
+    # Each chunk's hits are written before the next one is sent out; only the first has the rows of texts without any.
+    found = []
+    for k, chunk in enumerate(chain([first, second], chunks)):
+        some, probe = search(index, chunk, width, slop)
+        found.append(work.put(f"hits{k}", some if k == 0 else some.filter((F.size("runs") > 0) | (F.size("near") > 0))))
+        probe.destroy()
+    both = reduce(DataFrame.unionByName, found)
+    return both.groupBy("block", "nth").agg(
+        *[F.first(c).alias(c) for c in ("_key", "_digest", "n_words")],
         F.pandas_udf(_union, "array<int>")(F.collect_list("runs")).alias("runs"),
         F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
         F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"),
@@ -311,6 +325,7 @@ def digest(found: DataFrame) -> DataFrame:
     hit = F.aggregate(F.sequence(F.lit(0), F.size("runs") - 1, F.lit(1)), F.lit(0).cast("long"), lambda a, i: a + F.when(i % 2 == 1, F.element_at("runs", i + 1)).otherwise(-F.element_at("runs", i + 1)))
     return found.withColumn("n_hit", F.when(F.size("runs") == 0, F.lit(0).cast("long")).otherwise(hit)).select(
         "_key",
+        "_digest",
         "n_words",
         "n_hit",
         F.size("items").cast("long").alias("n_items"),
@@ -322,7 +337,7 @@ def digest(found: DataFrame) -> DataFrame:
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
     docs = read("documents").select(F.col("doc_id").alias("_key"), "text")
-    return digest(contamination(docs, read("benchmark"))).withColumnRenamed("_key", "doc_id")
+    return digest(contamination(docs, read("benchmark"))).withColumnRenamed("_key", "doc_id").drop("_digest")
 
 
 OP10_SQL = rf"""
