@@ -8,14 +8,17 @@ first pass over all rows, by grouped aggregation of the text's posteriors.
 Trigrams overlap, so their log-likelihood counts by ``TEMPER`` only and is
 bounded by ``CEILING``: other evidence decides short and mixed texts.
 
-The trigram model is fitted on at most ``SAMPLE`` labelled rows a language;
-priors and declarations use every row.
+The trigram model is fitted on labelled rows of the ``LANGUAGES`` most frequent
+labels, about ``SAMPLE`` a language (taken by hash of the text, so equal texts
+go together); priors and declarations use every row.
 
 Defined results: a row whose text has no letter has language ``und`` and is not
 kept; so is one whose best language has a posterior below ``LEAST``. Null
 texts are empty; a null host, suffix or declaration is no evidence (the parent
 prior holds). Repeated rows each get a row. With no labelled rows every row is
-``und``. Texts of any length are read whole. Other columns of the input stay.
+``und``; equal posteriors go to the language that sorts first. Texts of any
+length are read whole. Other columns of the input stay, whatever their names; one
+that is named like a column of the result gives way to it.
 """
 
 from __future__ import annotations
@@ -27,10 +30,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..deploy import ship
 from .common import Workspace, hold, small_batches
 
 BINS = 1 << 15
-SAMPLE = 2000
+SAMPLE, LANGUAGES = 2000, 200
 TEMPER, CEILING = 0.2, 12.0
 LEAST = 0.5
 #: How many rows a parent's prior counts as.
@@ -53,8 +57,9 @@ def has_letter(text: str) -> bool:
 
 def fit(rows: DataFrame, text: str = "text", label: str = "lang") -> tuple[list[str], np.ndarray]:
     """Languages, and their log-probabilities by bin, from a bounded sample of labelled rows."""
+    ship(rows.sparkSession)
     known = rows.filter(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(label).alias("lang"))
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     share = F.lit(0.0)
     for name, n in sizes.items():
         share = F.when(F.col("lang") == name, F.lit(min(1.0, SAMPLE / n))).otherwise(share)
@@ -95,15 +100,23 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], text: str = "
     spark = rows.sparkSession
     small_batches(spark)
     langs, table = model
+    keep = [c for c in rows.columns if c.lower() not in ("_lang", "_confidence", "_kept")]
     if not langs:
-        return rows.withColumns({"_lang": F.lit("und"), "_confidence": F.lit(0.0), "_kept": F.lit(False)})
+        return rows.select(*[F.col(f"`{c}`") for c in keep], F.lit("und").alias("_lang"), F.lit(0.0).alias("_confidence"), F.lit(False).alias("_kept"))
     n = len(langs)
     shared = spark.sparkContext.broadcast(table)
     work = Workspace(spark)
     none = F.lit(None).cast("string")
     said = F.lower(F.substring(declared, 1, 2)) if declared is not None else none
-    where = rows.withColumns({"_host": host if host is not None else none, "_suffix": suffix if suffix is not None else none, "_said": said})
-    place = [c for c in where.columns if c in ("_host", "_suffix", "_said")]
+    # The input's own columns are fields of one, so that no name of theirs meets one used here.
+    where = rows.select(
+        F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"),
+        F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"),
+        (host if host is not None else none).alias("_host"),
+        (suffix if suffix is not None else none).alias("_suffix"),
+        said.alias("_said"),
+    )
+    place = ["_host", "_suffix", "_said"]
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold("languages")
@@ -113,7 +126,7 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], text: str = "
             p[(e == 1).all(1)] = 0  # nothing to read
             yield pa.RecordBatch.from_arrays([*b.columns[1:], *[pa.array(p[:, i]) for i in range(n)]], names=[*place, *[f"p{i}" for i in range(n)]])
 
-    soft = where.select(F.col(text), *place).mapInArrow(first, ", ".join([f"{c} string" for c in place] + [f"p{i} double" for i in range(n)]))
+    soft = where.select("_text", *place).mapInArrow(first, ", ".join([f"{c} string" for c in place] + [f"p{i} double" for i in range(n)]))
     sums = work.put("sums", soft.groupBy(*place).agg(*[F.sum(f"p{i}").alias(f"p{i}") for i in range(n)]))
     total = [F.sum(f"p{i}").alias(f"p{i}") for i in range(n)]
     vec = lambda: F.array(*[F.coalesce(f"p{i}", F.lit(0.0)) for i in range(n)])
@@ -141,12 +154,11 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], text: str = "
         by_host = F.broadcast(by_host)
     held = where.join(by_host, (F.col("_host") == F.col("_lh")) & F.col("_suffix").eqNullSafe(F.col("_lhs")), "left").join(by_suffix, F.col("_suffix") == F.col("_ls"), "left")
     held = held.withColumn("_prior", F.coalesce("_lh_prior", "_ls_prior", whole)).drop("_lh", "_lhs", "_lh_prior", "_ls", "_ls_prior", "_host", "_suffix")
-    keep = rows.columns
-    at = held.columns.index(text)
 
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [x.as_py() or "" for x in b.column(at)]
+            texts = b.column("_text").to_pylist()
+            own = b.column("_row").flatten()
             e = text_evidence(shared.value, texts)
             prior = np.log(np.array(b.column("_prior").to_pylist(), float).reshape(len(texts), n))
             told = np.array([trust[langs.index(d)] if d in langs else np.zeros(n) for d in b.column("_said").to_pylist()]).reshape(len(texts), n)
@@ -158,10 +170,10 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], text: str = "
             conf = np.where(some, p.max(1), 0.0)
             kept = conf >= least
             lang = [langs[i] if k else "und" for i, k in zip(best, kept, strict=True)]
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(lang, pa.string()), pa.array(conf), pa.array(kept, pa.bool_())], names=[*keep, "_lang", "_confidence", "_kept"])
+            yield pa.RecordBatch.from_arrays([*own, pa.array(lang, pa.string()), pa.array(conf), pa.array(kept, pa.bool_())], names=[*keep, "_lang", "_confidence", "_kept"])
 
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields]
-    return held.mapInArrow(last, ", ".join([*kinds, "_lang string, _confidence double, _kept boolean"]))
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in keep]
+    return held.select("_row", "_text", "_said", "_prior").mapInArrow(last, ", ".join([*kinds, "_lang string, _confidence double, _kept boolean"]))
 
 
 MARKUP = r"(?i)<html[^>]*\blang=[\"']?([a-z]{2})"
