@@ -20,7 +20,10 @@ most ``LEXICON`` of them (the strongest), so what is broadcast is bounded.
 
 Defined results: null and empty texts have no evidence and get the score of
 that; without labels of both classes every score is the share of label 1 (0
-without labels); of several labels of an id the largest counts. Repeated rows
+without labels); of several labels of an id the largest counts, of several texts
+of an id the smallest is learnt from, none of over
+``quality_knn.LONGEST_LEARNT`` bytes. Equally likely words go to the one found
+first, in the order of ``LOOKS``. Repeated rows
 each get a row. Texts of any length are read whole. Other columns are ignored.
 """
 
@@ -51,6 +54,7 @@ SWAP, DROP, TWICE, LOSE = -2.0, -1.0, -1.5, -9.0
 LONGEST = 40
 #: Letters of a word in such parts while no lexicon is known.
 REACH = 12
+#: Paths that are followed at a time; a path that is cut was less likely than so many others up to there.
 BEAM = 24
 
 _SIGNS = re.escape("".join(LOOKS) + BETWEEN)
@@ -61,7 +65,7 @@ _MANY = re.compile(r"(.)\1{3,}", re.DOTALL)
 _MUTE = re.compile(rf"[^\w{re.escape(''.join(LOOKS))}]|[_·]")
 _JOINS = re.compile(rf"[{re.escape(BETWEEN)}/\\,;:&=?#]+")
 _EDGE = " .,;:?!\"()[]{}<>&%#*…«»„“”"
-_SPACED = re.compile(r"(?<![^\s])(?:[^\s][ ]){2,}[^\s](?![^\s])")
+_SPACED = re.compile(r"(?<!\S)(?:\S\s+){2,}\S(?!\S)")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -182,9 +186,9 @@ class Reader:
             yield from self._parts(token, reach)
 
     def spaced(self, text: str, reach: int = REACH) -> Iterator[str]:
-        """Words spelt with blanks between their letters."""
+        """Words spelt with white space, any and of any length, between their letters."""
         for m in _SPACED.finditer(text):
-            yield from self._parts(m[0].replace(" ", ""), reach)
+            yield from self._parts("".join(m[0].split()), reach)
 
     def _parts(self, letters: str, reach: int) -> Iterator[str]:
         """Every word of up to reach letters, each written up to three times, is whole in some part."""
