@@ -1,6 +1,7 @@
 """Quality by votes of the nearest labelled texts in a latent semantic space.
 
-A text's terms are what its writing looks like, whatever the language: trigrams
+A text's terms are its words, hashed to ``WORDS`` bins, and what its writing
+looks like, whatever the language: trigrams
 of character classes, shapes of words and how often words and lines repeat.
 Term weights and a singular value decomposition of a bounded labelled sample
 give the latent space (``DIMS`` axes). The sample's vectors, at most ``SAMPLE``
@@ -13,7 +14,10 @@ are weighted so that classes count as they occur there.
 
 Defined results: a null text is empty; a text without bytes has only its length
 as a term and is voted on like any other; rows of labels that are null take no
-part, of several labels of an id the largest counts; without labels, or with one
+part, of several labels of an id the largest counts, of several texts of an id
+the smallest is learnt from, and texts of over ``LONGEST_LEARNT`` bytes are
+scored but not learnt from; equal similarities go to the labelled row with the
+smaller id; without labels, or with one
 class only, the score is that class's share (0.5 without labels). Repeated rows
 each get a row; texts of any length are read whole; other columns are ignored.
 """
@@ -21,6 +25,7 @@ each get a row; texts of any length are read whole; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +35,8 @@ from pyspark.sql import functions as F
 from .common import crc_mod, small_batches
 
 SAMPLE, DIMS, NEAREST, SHARP = 2500, 48, 15, 12.0
+#: With the sample's size this bounds what the driver holds.
+LONGEST_LEARNT = 1 << 18
 #: Documents whose products are computed at once.
 ROWS = 512
 _CLASSES = 16
@@ -49,8 +56,10 @@ def _class(b: int) -> int:
 
 _TABLE = np.array([_class(b) for b in range(256)], np.uint16)
 _TRI = _CLASSES**3
-#: Trigrams, then repetition of words, of lines, length of words, of the text.
-TERMS = _TRI + 4 * 16
+#: Bins of words, and what a word weighs against a trigram of classes.
+WORDS, WEIGHT = 1 << 10, 0.5
+#: Trigrams, then repetition of words, of lines, length of words, of the text, then words.
+TERMS = _TRI + 4 * 16 + WORDS
 
 
 def terms(text: str | None) -> np.ndarray:
@@ -73,6 +82,9 @@ def terms(text: str | None) -> np.ndarray:
     out[_TRI + 16 + of(15 * len(set(lines)) / len(lines) if lines else 15)] = 1
     out[_TRI + 32 + of((len(data) - len(words)) / len(words) if words else 0)] = 1
     out[_TRI + 48 + of(np.log2(len(data) + 1))] = 0.3
+    if words:
+        bins = np.bincount(np.fromiter(map(crc32, map(bytes.lower, words)), np.int64, len(words)) & (WORDS - 1), minlength=WORDS)
+        out[_TRI + 64 :] = WEIGHT * np.sqrt(bins / len(words))
     return out
 
 
@@ -86,6 +98,14 @@ def principal(x: np.ndarray, dims: int) -> np.ndarray:
     return np.ascontiguousarray(q @ v[:k].T)
 
 
+def nearest(cos: np.ndarray, k: int) -> np.ndarray:
+    """Per row the columns of its k largest values; of equal ones at the end the first."""
+    last = -np.partition(-cos, k - 1, axis=1)[:, k - 1 : k]
+    more, same = cos > last, cos == last
+    room = k - more.sum(1, keepdims=True)
+    return np.nonzero(more | (same & (np.cumsum(same, axis=1) <= room)))[1].reshape(len(cos), k)
+
+
 class Model:
     """Term weights, axes, and the labelled vectors."""
 
@@ -112,7 +132,7 @@ class Model:
             x = np.stack([terms(t) for t in texts[s : s + ROWS]]) * self.idf
             cos = self._unit(x @ self.axes) @ self.vectors.T
             k = min(NEAREST, cos.shape[1])
-            near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
+            near = nearest(cos, k)
             c = np.take_along_axis(cos, near, 1)
             w = np.exp(SHARP * (c - c.max(1, keepdims=True))) * self.weight[near]
             out[s : s + ROWS] = (w * self.labels[near]).sum(1) / w.sum(1)
@@ -122,15 +142,17 @@ class Model:
 def labelled_sample(docs: DataFrame, labels: DataFrame, learn: Column, label: str, per_class: int) -> tuple[list, float]:
     """At most per_class rows of either label (text and label, taken by hash of the id), and
     the share of label 1 among all. The ids taken are few, at most 2 * per_class, so they
-    are sent to the texts."""
+    are sent to the texts. One text an id comes back, of ``LONGEST_LEARNT`` bytes at most."""
     one = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("y")).filter(learn)
     some = None
     for y in (0, 1):
         part = one.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id").limit(per_class)
         some = part if some is None else some.unionByName(part)
-    got = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "text", "y").collect()
+    text = F.coalesce("text", F.lit(""))
+    short = docs.select("doc_id", text.alias("text")).filter(F.octet_length("text") <= LONGEST_LEARNT)
+    got = short.join(F.broadcast(some), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).collect()
     share = one.agg(F.avg("y").alias("y")).first()["y"]
-    return sorted(got, key=lambda r: (r["doc_id"], r["text"] or "")), share
+    return sorted(got, key=lambda r: r["doc_id"]), share
 
 
 def score(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality", per_class: int = SAMPLE) -> DataFrame:
