@@ -5,11 +5,13 @@ block) tile is one unit of work, found by an equi-join on the tile's number.
 Within a tile, int8 codes are multiplied; with the codes' residual norms each
 product has an error bound, so a pair is dropped only if it provably cannot be
 among the k nearest. Survivors are recomputed in double precision from the
-original vectors and merged, first in the tile, then over tiles. The result is
-exact: recall is 1 by construction.
+original vectors and merged by one heap of k a query, which all tiles of a task
+share: its least score is a bound for the next tile, and at most k rows a query
+and task are left to merge. The result is exact: recall is 1 by construction.
 
 Work is (queries x vectors) multiplications, in blocks; bytes moved are each
-candidate block once per query block, so they shrink as ``query_block`` grows.
+candidate block once per query block, in total the vectors' bytes times
+ceil(queries / query_block), so they shrink as ``query_block`` grows.
 
 Defined results: vectors that are null, empty, all zero, or hold a null or
 non-finite component take no part; vectors are compared with those of equal
@@ -20,6 +22,7 @@ takes no part. Other columns are ignored.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -80,8 +83,8 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return codes, scale, norm(x - near), norm(x), norm(near)
 
 
-def tile(q_ids, q, c_ids, c, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """query id, vector id and exact score of each query's k nearest in the tile."""
+def tile(q_ids, q, c_ids, c, k: int, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place of the query, vector id and exact score of each query's k nearest in the tile that reach its least score."""
     cq, cs, ce, cn, _ = quantise(c)
     qq, qs, qe, _, qh = quantise(q)
     # Products of codes are whole numbers; single precision holds them up to 2**24.
@@ -100,20 +103,49 @@ def tile(q_ids, q, c_ids, c, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
             bound = -np.partition(-low, k - 1, axis=1)[:, k - 1]
         else:
             bound = np.full(e - s, -np.inf)
+        if least is not None:
+            bound = np.maximum(bound, least[s:e])
         rows, cols = np.nonzero((high >= bound[:, None]) & ~own)
         exact = np.einsum("ij,ij->i", q[s + rows], c[cols])
         order = np.lexsort((c_ids[cols], -exact, rows))
         rows, cols, exact = rows[order], cols[order], exact[order]
         first = np.searchsorted(rows, np.arange(e - s))
         keep = np.arange(len(rows)) - first[rows] < k
-        out[0].append(q_ids[s + rows[keep]])
+        out[0].append(s + rows[keep])
         out[1].append(c_ids[cols[keep]])
         out[2].append(exact[keep])
     return tuple(np.concatenate(x) for x in out)
 
 
+class Heaps:
+    """The k best of each query of a block: (score, -id), the worst on top."""
+
+    def __init__(self, ids: np.ndarray, k: int):
+        self.ids, self.k = ids, k
+        self.best: list[list[tuple[float, int]]] = [[] for _ in ids]
+
+    def least(self) -> np.ndarray:
+        return np.array([h[0][0] if len(h) == self.k else -np.inf for h in self.best])
+
+    def add(self, places: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        for q, i, s in zip(places.tolist(), ids.tolist(), scores.tolist(), strict=True):
+            h = self.best[q]
+            if len(h) < self.k:
+                heapq.heappush(h, (s, -i))
+            elif (s, -i) > h[0]:
+                heapq.heapreplace(h, (s, -i))
+
+    def rows(self) -> pa.RecordBatch:
+        n = [len(h) for h in self.best]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(self.ids, n)), pa.array([-i for h in self.best for _, i in h], pa.int64()), pa.array([s for h in self.best for s, _ in h], pa.float64())],
+            names=["query_id", "vec_id", "score"],
+        )
+
+
 def _tiles(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, heaps = None, None
         for b in batches:
             for r in range(b.num_rows):
                 get = lambda n: b.column(n)[r]  # noqa: B023, E731
@@ -122,8 +154,14 @@ def _tiles(k: int):
                     np.frombuffer(get(m).as_buffer(), "<f8" if get(w).as_py() else "<f4").reshape(len(i), -1).astype(np.float64)
                     for m, w, i in (("q_mat", "q_wide", q_ids), ("c_mat", "c_wide", c_ids))
                 )
-                a, i, s = tile(q_ids, q, c_ids, c, k)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(i), pa.array(s)], names=["query_id", "vec_id", "score"])
+                # Tiles of a query block are sorted side by side.
+                if heaps is None or block != (get("dim").as_py(), get("qb").as_py()):
+                    if heaps is not None:
+                        yield heaps.rows()
+                    block, heaps = (get("dim").as_py(), get("qb").as_py()), Heaps(q_ids.copy(), k)
+                heaps.add(*tile(q_ids, q, c_ids, c, k, heaps.least()))
+        if heaps is not None:
+            yield heaps.rows()
 
     return run
 
@@ -138,7 +176,7 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col
     to = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     left = query.join(F.broadcast(n_cand), "dim").select("dim", F.col("block").alias("qb"), to("n").alias("cb"), *[F.col(c).alias(f"q_{c}") for c in ("ids", "mat", "wide")])
     right = cand.join(F.broadcast(n_query), "dim").select("dim", F.col("block").alias("cb"), to("n").alias("qb"), *[F.col(c).alias(f"c_{c}") for c in ("ids", "mat", "wide")])
-    pairs = left.join(right, ["dim", "qb", "cb"]).mapInArrow(_tiles(k), "query_id long, vec_id long, score double")
+    pairs = left.join(right, ["dim", "qb", "cb"]).sortWithinPartitions("dim", "qb").mapInArrow(_tiles(k), "query_id long, vec_id long, score double")
     from pyspark.sql import Window
 
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
