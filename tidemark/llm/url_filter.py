@@ -75,12 +75,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     if (shape["bytes"] or 0) <= BROADCAST_BYTES:
         known = F.broadcast(known)
 
-    one = (
-        pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("_url"))
-        .groupBy("page_id", "_url")
-        .agg(F.count("*").cast("int").alias("_n"))
-        .withColumns({"host": host_of(F.col("_url")), "path": path_of(F.col("_url"))})
-    )
+    # A row's number is the same whenever its part of the table is read again.
+    one = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"), F.monotonically_increasing_id().alias("_row"))
     parts = F.split("host", r"\.")
     suffixes = F.transform(
         F.filter(labels, lambda k: k <= F.size(parts)),
@@ -93,18 +89,11 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
         .withColumn("_digest", _digest(F.col("_host"), F.col("_path")))
         .withColumn("_short", F.substring("_digest", 1, 8))
     )
-    found = tried.join(known, (F.col("_short") == F.col("r_short")) & (F.col("_digest") == F.col("r_digest")), "left")
-    best = found.groupBy("page_id", "_url", "_n", "host", "path").agg(
-        F.max_by(F.struct("r_host", "r_path", "r_action"), "r_rank").alias("r")
-    )
-    return best.select(
-        "page_id",
-        "host",
-        "path",
-        F.concat("r.r_host", "r.r_path").alias("rule"),
-        F.coalesce("r.r_action", F.lit(default)).alias("verdict"),
-        F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_copy"),
-    ).drop("_copy")
+    # Few expressions share their four bytes with a rule by chance; the full digest tells.
+    found = tried.join(known, F.col("_short") == F.col("r_short"), "left")
+    true = F.col("_digest") == F.col("r_digest")
+    best = found.groupBy("_row", "page_id", "host", "path").agg(F.max_by(F.when(true, F.struct("r_host", "r_path", "r_action")), F.when(true, F.col("r_rank"))).alias("r"))
+    return best.select("page_id", "host", "path", F.concat("r.r_host", "r.r_path").alias("rule"), F.coalesce("r.r_action", F.lit(default)).alias("verdict"))
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
