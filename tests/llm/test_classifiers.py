@@ -58,8 +58,9 @@ def test_pages_equal_brute_force(spark):
 def test_language_cases(spark):
     model = L.fit(spark.read.parquet(f"{SF}/documents.parquet"))
     rows = [(1, None, "h", "de"), (2, "", None, None), (3, "123 ?!", "h", None), (4, "Ouverture", "h", "fr"), (4, "Ouverture", "h", "fr"), (5, "an", None, "zz")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, host string, said string").withColumns({"lang": F.lit("xx"), "s": F.lit(0), "h": F.lit(0)})
+    df = spark.createDataFrame(rows, "doc_id long, text string, host string, said string").withColumns({c: F.lit(0) for c in ("s", "h", "_host", "_prior", "_lang", "_said", "_row", "_text", "p0", "a b")}).withColumn("lang", F.lit("xx"))
     got = L.identify(df, model, host=F.col("host"), suffix=F.lit("com"), declared=F.col("said")).collect()
+    assert got[0]["_prior"] == 0 and got[0]["a b"] == 0 and got[0]["lang"] == "xx" and len([c for c in got[0].__fields__ if c == "_lang"]) == 1
     assert len(got) == 6 and {r.doc_id for r in got if not r._kept} >= {1, 2, 3}
     assert all(r._lang == "und" for r in got if not r._kept)
     assert L.identify(df.limit(0), model).count() == 0
@@ -67,6 +68,16 @@ def test_language_cases(spark):
     assert {r._lang for r in none} == {"und"}
 
 
+def test_few_labels_are_learnt_and_long_texts_are_read(spark, monkeypatch):
+    monkeypatch.setattr(L, "LANGUAGES", 2)
+    rows = [("abc " * 5, f"l{i % 5 if i < 50 else i % 2}") for i in range(100)]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    langs, table = L.fit(df)
+    assert langs == ["l0", "l1"] and table.shape[1] == 2
+    one, long = L.text_evidence(np.log(np.random.default_rng(1).random((L.BINS, 2))), ["abcd " * 10, "abcd " * 500_000])
+    assert one.argmax() == long.argmax() and long.min() == -L.CEILING
+
+
 def test_declarations_are_sought_in_the_whole_text(spark):
     said = {"de": "abab cdcd " * 20, "en": "efef ghgh " * 20}
     known = [(t, x, -1) for x, t in said.items()] + [(f"<html lang='{x}'> {t}", None, -1) for x, t in said.items()] * 20
@@ -96,12 +107,50 @@ def test_toxicity_held_out(spark):
     assert np.mean([r.predicted == labels[r.doc_id] for r in test]) > 0.98
 
 
+def best_of_all(token, lm):
+    """Every path through the lattice."""
+    paths = [(0.0, "", 0, 0)]
+    for options in T.lattice(token):
+        paths = [(p + cost, said + x, a, b) for p, said, a, b in paths for x, cost in options]
+    def likely(path):
+        p, said = path[0], path[1]
+        a = b = 0
+        for c in (*map(T.symbol, said), 0):
+            p, a, b = p + lm(a, b, c), b, c
+        return p
+    return max(map(likely, paths)), {said for path in paths for said in [path[1]] if likely(path) >= max(map(likely, paths)) - 1e-9}
+
+
+def test_toxicity_equals_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    read = lambda n: spark.read.parquet(f"{sf}/{n}.parquet")
+    docs, labels = read("documents").select("doc_id", "text"), read("labels").select("doc_id", "toxic")
+    model = T.train(docs, labels, crc_mod("doc_id", 5) != 0)
+    for token in ("1d10t", "i.d.i.o.t", "stuuupid", "$tup1d", "a-b.c", "l00k", "tr@$h!"):
+        assert T.decode(token, model.lm) in best_of_all(token, model.lm)[1]
+    seen = {}
+    w0, w1, w2 = model.fit
+    for r in T.op5_toxicity_channel(spark, sf).collect():
+        seen[r.doc_id] = r.score
+    for r in docs.collect():
+        reader, low = T.Reader(model.lm), (r.text or "").lower()
+        got = []
+        for t in low.split():
+            own = [model.weights.get(f, 0.0) for w in reader.words(t) for f in T.stems(w)]
+            own += [model.weights.get(x + "$", 0.0) for run in reader.runs(t, model.reach) for a in range(len(run)) for b in range(a + 3, len(run) + 1) for x in [run[a:b]]]
+            got.append(max(own, default=0.0))
+        for run in reader.spaced(low, model.reach):
+            got.append(max((model.weights.get(run[a:b] + "$", 0.0) for a in range(len(run)) for b in range(a + 3, len(run) + 1)), default=0.0))
+        x = w0 + w1 * max(got, default=0.0) + w2 * np.log1p(sum(v for v in got if v > 0))
+        assert abs(seen[r.doc_id] - 1 / (1 + np.exp(-np.clip(x, -60, 60)))) < 1e-9
+
+
 def test_channel_is_undone(spark):
     lm = T.train_language_model(spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text"))
     for told, meant in (("$tup1d", "stupid"), ("i.d.i.o.t", "idiot"), ("stuuupid", "stupid"), ("m0r0n", "moron"), ("tr@sh", "trash"), ("l0s3r", "loser")):
         assert T.decode(told, lm) == meant
     scorer = T.Scorer(lm, {"idiot$": 9.0, "stup": 8.0}, (-5.0, 1.0, 0.1))
-    for bad in ("you i d i o t", "an IDIOT!", "so $tup1d,", "i-d-i-o-t"):
+    for bad in ("you i d i o t", "you i  d\ti\no t", "word " * 50_000 + "1d10t", "an IDIOT!", "so $tup1d,", "i-d-i-o-t"):
         assert scorer.score(bad) > 0.5, bad
     for fine in ("", None, "the idea", "call 555-1234 now", "mail a.b@c.de"):
         assert scorer.score(fine) < 0.5, fine
@@ -136,6 +185,35 @@ def test_quality_held_out(spark):
     assert np.mean([r.predicted == labels[r.doc_id] for r in test]) > 0.93
 
 
+def test_quality_equals_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    read = lambda n: spark.read.parquet(f"{sf}/{n}.parquet")
+    docs, labels = read("documents").select("doc_id", "text"), read("labels").select("doc_id", "quality")
+    sample, share = Q.labelled_sample(docs, labels, crc_mod("doc_id", 3) != 1, "quality", Q.SAMPLE)
+    y = np.array([r["y"] for r in sample])
+    m = Q.Model([r["text"] for r in sample], y, share)
+    got = {r.doc_id: r.score for r in Q.op8_quality_knn(spark, sf).collect()}
+    unit = lambda v: v / np.sqrt((v * v).sum())
+    known = [unit(Q.terms(r["text"]) * m.idf @ m.axes) for r in sample]
+    for r in docs.collect():
+        mine = unit(Q.terms(r.text) * m.idf @ m.axes)
+        near = sorted((-float(mine @ v), k) for k, v in enumerate(known))[: Q.NEAREST]
+        w = [np.exp(Q.SHARP * -c) * m.weight[k] for c, k in near]
+        assert abs(got[r.doc_id] - sum(a * y[k] for a, (_, k) in zip(w, near, strict=True)) / sum(w)) < 2e-3
+
+
+def test_ties_go_to_the_first():
+    cos = np.array([[0.5, 0.9, 0.5, 0.5, 0.1], [0.2, 0.2, 0.2, 0.2, 0.2]], np.float32)
+    assert Q.nearest(cos, 3).tolist() == [[0, 1, 2], [0, 1, 2]] and Q.nearest(cos, 5).tolist() == [[0, 1, 2, 3, 4]] * 2
+
+
+def test_one_text_an_id_is_learnt_and_none_of_excessive_length(spark, monkeypatch):
+    monkeypatch.setattr(Q, "LONGEST_LEARNT", 10)
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (2, "x" * 11), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 1), (3, 1)], "doc_id long, quality int")
+    assert [(r["doc_id"], r["text"]) for r in Q.labelled_sample(docs, labels, F.lit(True), "quality", 5)[0]] == [(1, "a"), (3, "")]
+
+
 def test_quality_cases(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "a b"), (3, "a b"), (None, "x")], "doc_id long, text string").withColumn("score", F.lit(1))
     labels = spark.createDataFrame([(1, 0), (2, None), (3, 1), (3, 0)], "doc_id long, quality int")
