@@ -239,3 +239,52 @@ def test_all_held_out_embeddings_are_searched(spark, tmp_path):
     want = {i: x for i, x in best.items() if x <= 0.02}
     assert 2 < len(want) < len(best) and got.keys() == want.keys()
     assert all(abs(got[i] - x) < 2e-6 for i, x in want.items())
+
+
+def test_folds_say_why_there_are_none(spark):
+    rows = [(float(i), "a" if i else "b", i) for i in range(20)]
+    train = table(spark, "x double, target string, at long", rows)
+    r = audit(spark, train, train.limit(2), target="target", config=only("D005"))
+    assert r.unavailable == ["D005"] and "fewer than two rows" in r.diagnostics[0]["message"] and r.completion == "partial"
+    for data, told in ((train.filter("at < 3"), "four rows"), (train.filter("at > 0"), "two classes")):
+        assert told in audit(spark, data, train, target="target", config=only("D005")).diagnostics[0]["message"]
+    timed = table(spark, "x double, target string, at timestamp", [(1.0, "ab"[i % 2], None) for i in range(20)])
+    assert "no time" in audit(spark, timed, timed, target="target", time="at", config=only("D005")).diagnostics[0]["message"]
+
+
+def test_time_comes_before_groups_and_classes(spark):
+    # What x says of the target turns over in the second half: only folds in time see that.
+    rows = spark.range(400).selectExpr("cast(if(id < 200, id % 2, 1 - id % 2) as double) x", "cast(id % 2 as string) target", "timestamp_seconds(id) at")
+    plain = audit(spark, rows.drop("at"), rows.drop("at"), target="target", config=only("D005", target_score=0.7))
+    turned = audit(spark, rows.filter("at < timestamp_seconds(200)"), rows, target="target", time="at", config=only("D005", target_score=0.99))
+    assert rules_of(plain) == set() and rules_of(turned) == {"D005"}
+    blocks = predictivity.time_folds(rows.withColumn("_pos", F.unix_seconds("at")), "at", 3).groupBy("block").agg(F.count("*").alias("n"), F.min("at").alias("t")).orderBy("block").collect()
+    assert [r.n for r in blocks] == [100] * 4 and sorted(r.t for r in blocks) == [r.t for r in blocks]
+    one = spark.range(50).selectExpr("timestamp_seconds(7) at", "id _pos")
+    assert [r.n for r in predictivity.time_folds(one, "at", 4).groupBy("block").agg(F.count("*").alias("n")).orderBy("block").collect()] == [10] * 5
+
+
+def test_several_classes_and_numbers_are_scored(spark):
+    three = spark.range(300).selectExpr("cast(id as double) + rand(1) x", "rand(2) noise", "concat('c', id div 100) target")
+    e = [json.loads(f.evidence) for f in audit(spark, three, three, target="target", config=only("D005", target_score=0.9)).findings.collect()]
+    assert [x["feature"] for x in e] == ["x"]
+    number = spark.range(400).selectExpr("concat('s', id % 4) s", "concat('t', id % 3) t", "(id % 4) * 10 + rand(3) target")
+    e = [json.loads(f.evidence) for f in audit(spark, number, number, target="target", config=only("D005", target_score=0.9)).findings.collect()]
+    assert [x["feature"] for x in e] == ["s"]
+
+
+@pytest.mark.parametrize("ordered", [False, True])
+def test_missing_values_are_the_training_median(spark, ordered):
+    rnd = np.random.default_rng(5)
+    rows = [("f", int(i % 4), None if i % 7 == 0 else float(rnd.normal() + (i % 3)), float(i % 3 == 0)) for i in range(120)]
+    m = table(spark, "feature string, fold int, x double, y double", rows)
+    got = {r.fold: r.r2 for r in predictivity.fold_r2(m, ordered).collect()}
+    for k in range(1 if ordered else 0, 4):
+        learn = [r for r in rows if (r[1] < k if ordered else r[1] != k)]
+        known = sorted(r[2] for r in learn if r[2] is not None)
+        med = known[(len(known) - 1) // 2]
+        x, y = (np.array([v for v in c]) for c in zip(*[(med if r[2] is None else r[2], r[3]) for r in learn], strict=True))
+        u, v = (np.array([w for w in c]) for c in zip(*[(med if r[2] is None else r[2], r[3]) for r in rows if r[1] == k], strict=True))
+        b, a = np.polyfit(x, y, 1)
+        assert abs(got[k] - (1 - ((v - a - b * u) ** 2).sum() / ((v - v.mean()) ** 2).sum())) < 1e-9
+    assert set(got) == set(range(1 if ordered else 0, 4))

@@ -49,13 +49,13 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["rules"]) == 0 and cli.main(["explain", "D001"]) == 0 and cli.main(["explain", "Z"]) == 2 and cli.main(["version"]) == 0
 
 
-@pytest.mark.parametrize("name", ["d001_docs_overlap", "d005_auc_numeric", "d006_dominance", "findings_gate", "runtime_t001", "d002_numeric_lineitem"])
+@pytest.mark.parametrize("name", ["d001_docs_overlap", "d005_auc_numeric", "d006_dominance", "findings_gate", "runtime_t001", "d002_numeric_lineitem", "runtime_fit_leak", "runtime_content_match", "corpus_confusion", "d002_hamming_embeddings", "static_suppressions", "typ_columns"])
 def test_catalogue_equals_duckdb(spark, name):
     import duckdb
 
     d = "/root/testdata/sf0.001"
     c = duckdb.connect()
-    for t in ("documents", "labels", "lineitem", "orders", "events", "conversations", "embeddings"):
+    for t in ("documents", "labels", "lineitem", "orders", "events", "conversations", "embeddings", "supplier"):
         c.execute(f"create view {t} as select * from read_parquet('{d}/{t}.parquet')")
     cur = c.execute(queries.SQL[name])
     cols = [x[0] for x in cur.description]

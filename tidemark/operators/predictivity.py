@@ -26,21 +26,35 @@ def class_folds(target: str, folds: int, key: str = "_pos") -> Column:
     return F.pmod(F.row_number().over(w) - 1, F.lit(folds))
 
 
+def _dealt(text: Column, folds: int) -> Column:
+    return (F.conv(F.substring(F.md5(text.cast("string")), 1, 8), 16, 10).cast("long") % folds).cast("int")
+
+
 def group_folds(group: str, folds: int) -> Column:
-    return F.pmod(F.xxhash64(group), F.lit(folds)).cast("int")
+    return _dealt(F.coalesce(F.col(group).cast("string"), F.lit("")), folds)
 
 
 def plain_folds(key: str, folds: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(folds)).cast("int")
+    return _dealt(F.col(key), folds)
 
 
 def time_folds(df: DataFrame, time: str, folds: int) -> DataFrame:
-    """Adds ``block`` 0..folds by time: block k >= 1 is tested on all earlier ones."""
-    w = Window.orderBy(time, "_pos")
-    n = F.count("*").over(Window.partitionBy())
-    size = F.floor(n / (folds + 1))
+    """Adds ``block`` 0..folds by time: block k >= 1 is tested on all earlier ones.
+
+    Rows are ranked within ``RANGES`` ranges of time, then across them, so no task sorts the table. Rows
+    of one time are ranked by position in one task.
+    """
+    at = F.unix_micros(F.col(time).cast("timestamp"))
+    cuts = df.agg(F.percentile_approx(at, F.array(*[F.lit(k / RANGES) for k in range(1, RANGES)]), 10_000).alias("c")).first()["c"] or []
+    ranged = df.withColumn("_range", F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]).cast("array<long>"), lambda c: c < at)))
+    w = Window.orderBy("_range")  # RANGES rows
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    sizes = sizes.select("_range", (F.sum("_n").over(w) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
+    rank = F.row_number().over(Window.partitionBy("_range").orderBy(time, "_pos")) - 1 + F.col("_before")
+    size = F.floor(F.col("_all") / (folds + 1))
     # The first block takes what does not divide.
-    return df.withColumn("block", F.greatest(F.lit(0), F.floor((F.row_number().over(w) - 1 - (n - size * folds)) / F.greatest(F.lit(1), size)) + 1).cast("int"))
+    block = F.greatest(F.lit(0), F.floor((rank - (F.col("_all") - size * folds)) / F.greatest(F.lit(1), size)) + 1).cast("int")
+    return ranged.join(F.broadcast(sizes), "_range").withColumn("block", block).drop("_range", "_before", "_all")
 
 
 def melt(df: DataFrame, features: list[str], target: Column, fold: Column) -> DataFrame:
@@ -52,18 +66,50 @@ def melt(df: DataFrame, features: list[str], target: Column, fold: Column) -> Da
 
 
 def impute(m: DataFrame) -> DataFrame:
-    """Missing values as the median of the feature."""
-    med = m.groupBy("feature").agg(F.percentile(F.col("x"), F.lit(0.5)).alias("_med"))
+    """Missing values as the median of the feature (to one in 100,000 of its rows)."""
+    med = m.groupBy("feature").agg(F.percentile_approx("x", 0.5, 100_000).alias("_med"))
     return m.join(F.broadcast(med), "feature").withColumn("x", F.coalesce("x", "_med")).drop("_med").filter("x is not null")
 
 
-def fold_auc(m: DataFrame) -> DataFrame:
-    """feature, fold, auc: for a target of 0 and 1."""
-    # Sums per fold; those of the training folds are the total less the fold.
-    s = m.groupBy("feature", "fold").agg(F.count("*").alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.sum(F.col("x") * F.col("y")).alias("sxy"))
-    w = Window.partitionBy("feature")
-    rest = {c: F.sum(c).over(w) - F.col(c) for c in ("n", "sx", "sy", "sxy")}
-    cov = s.select("feature", "fold", F.signum(F.round(rest["sxy"] - rest["sx"] * rest["sy"] / F.greatest(rest["n"], F.lit(1)), 9)).alias("sign"))
+def fold_medians(m: DataFrame, ordered: bool) -> DataFrame:
+    """feature, fold, med: of features with missing values the median of the rows a fold is not tested on."""
+    folds = [r["fold"] for r in m.select("fold").distinct().orderBy("fold").limit(1000).collect()]
+    some = m.filter("x is null").select("feature").distinct()
+    known = m.filter("x is not null").join(F.broadcast(some), "feature", "left_semi").select("feature", F.col("fold").alias("_own"), "x")
+    each = known.withColumn("fold", F.explode(F.array(*[F.lit(k) for k in folds]).cast("array<int>")))
+    each = each.filter(F.col("_own") < F.col("fold") if ordered else F.col("_own") != F.col("fold"))
+    return each.groupBy("feature", "fold").agg(F.percentile_approx("x", 0.5, 100_000).alias("med"))
+
+
+def _learnt(s: DataFrame, by: list[str], columns: tuple[str, ...], ordered: bool) -> DataFrame:
+    """Adds r_<column>: the sum over the folds that this one is not tested on; with ordered folds the earlier ones."""
+    if ordered:
+        w = Window.partitionBy(*by).orderBy("fold").rowsBetween(Window.unboundedPreceding, -1)
+        return s.withColumns({f"r_{c}": F.coalesce(F.sum(c).over(w), F.lit(0)) for c in columns})
+    w = Window.partitionBy(*by)
+    return s.withColumns({f"r_{c}": F.sum(c).over(w) - F.col(c) for c in columns})
+
+
+def _sums(m: DataFrame, med: DataFrame, ordered: bool) -> DataFrame:
+    """Sums of a feature's folds and of what they are tested on, missing values as its median there."""
+    x, y, none = F.col("x"), F.col("y"), F.col("x").isNull()
+    total = {"n": F.count("*"), "sy": F.sum("y"), "syy": F.sum(y * y), "sx": F.coalesce(F.sum("x"), F.lit(0.0)), "sxy": F.coalesce(F.sum(x * y), F.lit(0.0)), "sxx": F.coalesce(F.sum(x * x), F.lit(0.0))}
+    total |= {"k": F.count_if(none), "ky": F.coalesce(F.sum(F.when(none, y)), F.lit(0.0))}
+    s = m.groupBy("feature", "fold").agg(*[e.alias(c) for c, e in total.items()])
+    s = _learnt(s, ["feature"], tuple(total), ordered).join(F.broadcast(med), ["feature", "fold"], "left")
+    fill = F.coalesce("med", F.lit(0.0))
+    put = {}
+    for r in ("", "r_"):
+        put |= {f"{r}sx": F.col(f"{r}sx") + F.col(f"{r}k") * fill, f"{r}sxy": F.col(f"{r}sxy") + F.col(f"{r}ky") * fill, f"{r}sxx": F.col(f"{r}sxx") + F.col(f"{r}k") * fill * fill}
+    return s.withColumns(put).filter("r_n > 0")
+
+
+def fold_auc(m: DataFrame, ordered: bool = False) -> DataFrame:
+    """feature, fold, auc: for a target of 0 and 1. Missing values are the median of what a fold is not tested on."""
+    med = fold_medians(m, ordered)
+    s = _sums(m, med, ordered)
+    cov = s.select("feature", "fold", F.signum(F.round(F.col("r_sxy") - F.col("r_sx") * F.col("r_sy") / F.greatest(F.col("r_n"), F.lit(1)), 9)).alias("sign"))
+    m = m.join(F.broadcast(med), ["feature", "fold"], "left").withColumn("x", F.coalesce("x", "med")).drop("med").filter("x is not null")
     v = m.groupBy("feature", "fold", "x").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
     cuts = m.groupBy("feature").agg(F.percentile_approx("x", F.array(*[F.lit(k / RANGES) for k in range(1, RANGES)]), 1000).alias("cuts"))
     v = v.join(F.broadcast(cuts), "feature").withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col("x")))).drop("cuts")
@@ -77,11 +123,10 @@ def fold_auc(m: DataFrame) -> DataFrame:
     return u.join(cov, ["feature", "fold"]).select("feature", "fold", F.when(F.col("sign") == 0, F.when(area.isNotNull(), F.lit(0.5))).when(F.col("sign") > 0, area).otherwise(1 - area).alias("auc"))
 
 
-def fold_r2(m: DataFrame) -> DataFrame:
-    """feature, fold, r2: a line fitted on the other folds."""
-    s = m.groupBy("feature", "fold").agg(F.count("*").alias("n"), *[F.sum(e).alias(a) for a, e in (("sx", F.col("x")), ("sy", F.col("y")), ("sxy", F.col("x") * F.col("y")), ("sxx", F.col("x") * F.col("x")), ("syy", F.col("y") * F.col("y")))])
-    w = Window.partitionBy("feature")
-    r = {c: F.sum(c).over(w) - F.col(c) for c in ("n", "sx", "sy", "sxy", "sxx")}
+def fold_r2(m: DataFrame, ordered: bool = False) -> DataFrame:
+    """feature, fold, r2: a line fitted on the other folds (the earlier ones, if ordered). Missing values as in fold_auc."""
+    s = _sums(m, fold_medians(m, ordered), ordered)
+    r = {c: F.col(f"r_{c}") for c in ("n", "sx", "sy", "sxy", "sxx")}
     var = r["sxx"] - r["sx"] * r["sx"] / r["n"]
     slope = F.when(F.abs(var) < 1e-12, F.lit(0.0)).otherwise((r["sxy"] - r["sx"] * r["sy"] / r["n"]) / var)
     f = s.withColumn("b", slope).withColumn("a", (r["sy"] - F.col("b") * r["sx"]) / r["n"])
@@ -90,22 +135,49 @@ def fold_r2(m: DataFrame) -> DataFrame:
     return f.select("feature", "fold", F.when(sst > 1e-12, 1 - sse / sst).alias("r2"))
 
 
-def fold_accuracy(df: DataFrame, feature: str, target: str, fold: Column) -> DataFrame:
+def ranged(df: DataFrame, features: list[str], ranges: int = RANGES) -> DataFrame:
+    """df with numeric features as the number of their range, of about as many rows each; missing values as -1."""
+    if not features:
+        return df
+    marks = F.array(*[F.lit(k / ranges) for k in range(1, ranges)])
+    num = {c: F.when(~F.isnan(F.col(f"`{c}`").cast("double")), F.col(f"`{c}`").cast("double")) for c in features}
+    cuts = df.agg(*[F.percentile_approx(x, marks, 10_000).alias(f"c{k}") for k, x in enumerate(num.values())]).first()
+    place = lambda x, c: F.when(x.isNull(), F.lit(-1)).otherwise(F.size(F.filter(F.array(*[F.lit(float(v)) for v in sorted(set(c or []))]).cast("array<double>"), lambda v: v < x)))
+    return df.withColumns({c: place(x, cuts[k]) for k, (c, x) in enumerate(num.items())})
+
+
+def _told(df: DataFrame, feature: str, target: Column, fold: Column) -> DataFrame:
+    return df.select(F.coalesce(F.col(f"`{feature}`").cast("string"), F.lit("")).alias("x"), target.alias("y"), fold.cast("int").alias("fold")).filter("y is not null")
+
+
+def fold_accuracy(df: DataFrame, feature: str, target: str, fold: Column, ordered: bool = False) -> DataFrame:
     """feature, fold, accuracy of a categorical feature: the class that is most frequent with the value in
-    the other folds (with ties and new values: the most frequent class)."""
-    c = df.select(F.coalesce(F.col(f"`{feature}`").cast("string"), F.lit("")).alias("x"), F.col(f"`{target}`").cast("string").alias("y"), fold.alias("fold")).filter("y is not null")
-    n = c.groupBy("x", "y", "fold").agg(F.count("*").alias("n"))
-    # What the other folds hold: all less the fold's own.
-    total = n.groupBy("x", "y").agg(F.sum("n").alias("t"))
-    folds = n.select("fold").distinct()
-    every = total.join(F.broadcast(folds)).join(n, ["x", "y", "fold"], "left").withColumn("rest", F.col("t") - F.coalesce("n", F.lit(0)))
-    base = every.groupBy("fold", "y").agg(F.sum("rest").alias("r")).groupBy("fold").agg(F.max_by("y", F.struct("r", "y")).alias("common"))
+    the other folds, or the earlier ones (with ties and new values: the most frequent class)."""
+    n = _told(df, feature, F.col(f"`{target}`").cast("string"), fold).groupBy("x", "y", "fold").agg(F.count("*").alias("n"))
+    folds = F.broadcast(n.select("fold").distinct())
+    every = n.select("x", "y").distinct().join(folds).join(n, ["x", "y", "fold"], "left").fillna(0, ["n"])
+    every = _learnt(every, ["x", "y"], ("n",), ordered).withColumn("rest", F.col("r_n"))
+    base = every.groupBy("fold", "y").agg(F.sum("rest").alias("r")).filter("r > 0").groupBy("fold").agg(F.max_by("y", F.struct("r", "y")).alias("common"))
     best = every.filter("rest > 0").groupBy("fold", "x").agg(F.max_by("y", F.struct("rest", "y")).alias("guess"))
     told = n.join(best, ["fold", "x"], "left").join(F.broadcast(base), "fold")
     right = F.sum(F.when(F.coalesce("guess", "common") == F.col("y"), F.col("n")).otherwise(0))
     return told.groupBy("fold").agg((right / F.sum("n")).alias("accuracy")).select(F.lit(feature).alias("feature"), "fold", "accuracy")
 
 
+def fold_mean_r2(df: DataFrame, feature: str, target: str, fold: Column, ordered: bool = False) -> DataFrame:
+    """feature, fold, r2 of a categorical feature for a number: the mean of its value in the other folds, or the
+    earlier ones (of new values: the mean of all)."""
+    n = _told(df, feature, F.col(f"`{target}`").cast("double"), fold).groupBy("x", "fold").agg(F.count("*").alias("n"), F.sum("y").alias("sy"), F.sum(F.col("y") * F.col("y")).alias("syy"))
+    folds = F.broadcast(n.select("fold").distinct())
+    every = n.select("x").distinct().join(folds).join(n, ["x", "fold"], "left").fillna(0, ["n", "sy", "syy"])
+    every = _learnt(every, ["x"], ("n", "sy"), ordered)
+    base = every.groupBy("fold").agg(F.sum("r_sy").alias("bs"), F.sum("r_n").alias("bn")).filter("bn > 0").select("fold", (F.col("bs") / F.col("bn")).alias("common"))
+    told = every.filter("n > 0").join(F.broadcast(base), "fold").withColumn("g", F.when(F.col("r_n") > 0, F.col("r_sy") / F.col("r_n")).otherwise(F.col("common")))
+    s = told.groupBy("fold").agg(F.sum("syy").alias("syy"), F.sum("sy").alias("sy"), F.sum("n").alias("n"), F.sum(F.col("syy") - 2 * F.col("g") * F.col("sy") + F.col("n") * F.col("g") * F.col("g")).alias("sse"))
+    sst = F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
+    return s.select(F.lit(feature).alias("feature"), "fold", F.when(sst > 1e-12, 1 - F.col("sse") / sst).alias("r2"))
+
+
 def summarise(scores: DataFrame, name: str) -> DataFrame:
     """feature, score, spread, error, folds."""
     return scores.filter(F.col(name).isNotNull()).groupBy("feature").agg(

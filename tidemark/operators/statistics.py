@@ -75,7 +75,7 @@ def quality_counts(splits: list[tuple[str, DataFrame]]) -> DataFrame:
 
 def fixed_sample(df: DataFrame, cap: int, key: str = "_pos", seed: int = 0) -> DataFrame:
     """Exactly min(cap, rows) rows, the same ones every time: those with the smallest hash of the key."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(cap)
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("")))), key).limit(cap)
 
 
 def head_sample(df: DataFrame, cap: int) -> DataFrame:
@@ -108,3 +108,13 @@ def zscore(df: DataFrame, column: str) -> DataFrame:
     """Adds ``z``: 0 where the column does not vary."""
     s = df.agg(F.avg(column).alias("_m"), F.stddev_pop(column).alias("_s"))
     return df.join(F.broadcast(s)).withColumn("z", F.when(F.coalesce("_s", F.lit(0.0)) == 0, F.lit(0.0)).otherwise((F.col(column) - F.col("_m")) / F.col("_s"))).drop("_m", "_s")
+
+
+def confusion(expected: DataFrame, observed: DataFrame, by: list[str]) -> DataFrame:
+    """by, hits, missed, extra: distinct rows that both tables have, and that only one of them has."""
+    e = expected.distinct().withColumn("_e", F.lit(1))
+    o = observed.distinct().withColumn("_o", F.lit(1))
+    both = e.join(o, expected.columns, "full")
+    n = lambda c: F.count_if(c).cast("long")
+    has, got = F.col("_e").isNotNull(), F.col("_o").isNotNull()
+    return both.groupBy(*by).agg(n(has & got).alias("hits"), n(has & ~got).alias("missed"), n(~has & got).alias("extra"))

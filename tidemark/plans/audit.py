@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -149,35 +150,72 @@ class Audit:
         if not self.c.data.sample_cap >= train.count():
             train = statistics.fixed_sample(train, self.c.data.sample_cap)
             self.report.sampled.append("D005")
-        k = self.c.data.folds
         classes = statistics.is_classification(train, target)
+        train, why = self._folds(train, classes)
+        if why:
+            self.report.unavailable.append("D005")
+            self.problem("LP330", "D005", why)
+            return
+        fold, ordered = F.col("_fold"), bool(self.s.time)
         labels = [r[0] for r in train.select(F.col(f"`{target}`").cast("string").alias("t")).distinct().orderBy("t").limit(3).collect()] if classes else []
-        fold = predictivity.group_folds(self.s.group, k) if self.s.group else predictivity.class_folds(f"`{target}`", k) if classes else predictivity.plain_folds("_pos", k)
-        train = train.withColumn("_fold", fold)
-        scores = None
+        cats = [c for c in self.strings if self.s.kinds.get(c, "categorical") == "categorical"]
+        parts = []
         if classes and len(labels) == 2 and self.numeric:
             y = (F.col(f"`{target}`").cast("string") == labels[1]).cast("int")
-            scores = predictivity.summarise(predictivity.fold_auc(predictivity.impute(predictivity.melt(train, self.numeric, y, F.col("_fold")))), "auc")
+            parts.append(predictivity.summarise(predictivity.fold_auc(predictivity.melt(train, self.numeric, y, fold), ordered), "auc"))
         elif not classes and self.numeric:
-            scores = predictivity.summarise(predictivity.fold_r2(predictivity.impute(predictivity.melt(train, self.numeric, F.col(f"`{target}`"), F.col("_fold")))), "r2")
-        if classes:
-            cats = [c for c in self.strings if self.s.kinds.get(c, "categorical") == "categorical"] + (self.numeric if len(labels) > 2 else [])
-            for c in cats:
-                one = predictivity.summarise(predictivity.fold_accuracy(train, c, target, F.col("_fold")), "accuracy")
-                scores = one if scores is None else scores.unionByName(one)
-        if scores is None:
+            parts.append(predictivity.summarise(predictivity.fold_r2(predictivity.melt(train, self.numeric, F.col(f"`{target}`"), fold), ordered), "r2"))
+        elif self.numeric:  # several classes: what is most frequent in each range of values
+            few = predictivity.ranged(train, self.numeric)
+            parts += [predictivity.summarise(predictivity.fold_accuracy(few, c, target, fold, ordered), "accuracy") for c in self.numeric]
+        for c in cats:
+            one = predictivity.fold_accuracy(train, c, target, fold, ordered) if classes else predictivity.fold_mean_r2(train, c, target, fold, ordered)
+            parts.append(predictivity.summarise(one, "accuracy" if classes else "r2"))
+        if not parts:
             return
-        got = scores.collect()
-        if len(got) < len(self.numeric):
-            self.problem("LP330", "D005", "a score is not defined for some features")
-        for r in sorted((r for r in got if r["score"] >= self.c.data.target_score), key=lambda r: -r["score"]):
+        got = reduce(DataFrame.unionByName, parts).collect()
+        if lost := sorted({*self.numeric, *cats} - {r["feature"] for r in got}):
+            self.problem("LP330", "D005", f"no score is defined for {', '.join(lost)}")
+        for r in sorted((r for r in got if r["score"] >= self.c.data.target_score), key=lambda r: (-r["score"], r["feature"])):
             yield f"feature {r['feature']}", f"{r['feature']} alone scores {r['score']:.3f} on {target}", r.asDict()
 
+    def _folds(self, train: DataFrame, classes: bool) -> tuple[DataFrame, str]:
+        """train with _fold, or why there are none: time comes before groups, groups before classes."""
+        k, target = self.c.data.folds, F.col(f"`{self.s.target}`")
+        n = train.count()
+        if n < 4:
+            return train, "fewer than four rows"
+        k = min(k, n)
+        if self.s.time:
+            timed = train.withColumn("_time", statistics.parsed_time(train, self.s.time))
+            if timed.filter("_time is null").limit(1).count():
+                return train, "some rows have no time"
+            if k < 3:
+                return train, "fewer than two folds in time"
+            return predictivity.time_folds(timed, "_time", max(2, k - 1)).withColumnRenamed("block", "_fold").drop("_time"), ""
+        if self.s.group:
+            groups = train.agg(F.count_distinct(f"`{self.s.group}`").alias("n")).first()["n"]
+            if groups < 2:
+                return train, "fewer than two groups"
+            return train.withColumn("_fold", predictivity.group_folds(f"`{self.s.group}`", min(k, groups))), ""
+        if classes:
+            r = train.groupBy(target.cast("string").alias("t")).agg(F.count("*").alias("n")).agg(F.count("*").alias("classes"), F.min("n").alias("least")).first()
+            if r["classes"] < 2:
+                return train, "the target has fewer than two classes"
+            if r["least"] < 2:
+                return train, "a class has fewer than two rows"
+            return train.withColumn("_fold", predictivity.class_folds(f"`{self.s.target}`", min(k, r["least"]))), ""
+        if k < 2:
+            return train, "fewer than two folds"
+        return train.withColumn("_fold", predictivity.plain_folds("_pos", k)), ""
+
     def d006(self) -> Iterator[tuple]:
         target, train = self.s.target, self.s.frames["train"]
-        if not target or len(self.s.features) < 3 or not statistics.is_classification(train, target):
+        if not target or len(self.s.features) < 3:
             return
         train = train.filter(F.col(f"`{target}`").isNotNull())
+        if not statistics.is_classification(train, target):  # a number: tenths of its rows are classes
+            train = predictivity.ranged(train, [target], 10)
         mi = None
         if self.numeric:
             mi = predictivity.continuous_mi(train, self.numeric, f"`{target}`")
@@ -192,6 +230,7 @@ def audit(spark: SparkSession, train: DataFrame, test: DataFrame, val: DataFrame
     """All data rules; tables that don't fit together give a failed report."""
     from .queries import writer
 
+    train, test, val = (x if x is None or isinstance(x, DataFrame) else spark.createDataFrame(x) for x in (train, test, val))
     frames = {"train": train, "test": test} | ({"val": val} if val is not None else {})
     try:
         splits = Splits(frames, target, group, time, kinds or {}, list(config.data.hash_include), list(config.data.hash_exclude))

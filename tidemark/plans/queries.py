@@ -10,7 +10,11 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
 from ..operators import overlap, predictivity, similarity, statistics
+from ..runtime import lineage
 from ..runtime import rules as runtime
+from ..static import extract
+from ..static import rules as static_rules
+from ..static.examples import EXAMPLES
 from . import findings
 
 QUERIES: dict = {}
@@ -233,16 +237,16 @@ def d002_datetime(spark, d):
     return near.select("r_pos", F.round("distance", 9).alias("distance"))
 
 
-_BITS = " | ".join(f"((embedding[{k + 1}] > 0)::UBIGINT << {k})" for k in range(64))
+_BITS = " | ".join(f"((embedding[{k + 1}] > 0)::UBIGINT << {k})" for k in range(16))
 
 
 @query(f"""
 WITH h AS (SELECT vec_id, {_BITS} AS h FROM embeddings),
 c AS (SELECT r.vec_id AS r_pos, l.vec_id AS l_pos, bit_count(xor(l.h, r.h)) AS d FROM h r, h l WHERE r.vec_id % 5 = 4 AND l.vec_id % 5 < 4)
-SELECT r_pos, min(d)::INT AS distance, arg_min(l_pos, d * 1000000000 + l_pos) AS l_pos FROM c WHERE d <= 12 GROUP BY 1""")
+SELECT r_pos, min(d)::INT AS distance, arg_min(l_pos, d * 1000000000 + l_pos) AS l_pos FROM c WHERE d <= 2 GROUP BY 1""")
 def d002_hamming_embeddings(spark, d):
-    rows = read(spark, d, "embeddings", "vec_id", "embedding").select("vec_id", similarity.sign_bits("embedding").alias("h"))
-    return similarity.hamming_links(*halves(rows, "vec_id"), "h", 12)
+    rows = read(spark, d, "embeddings", "vec_id", "embedding").select("vec_id", similarity.sign_bits("embedding", 16).alias("h"))
+    return similarity.hamming_links(*halves(rows, "vec_id"), "h", 2)
 
 
 @query("""
@@ -272,7 +276,7 @@ _MELT = " UNION ALL ".join(f"SELECT '{c}' AS feature, (l_orderkey % 5)::INT AS f
 
 def _melted(spark, d, target):
     rows = read(spark, d, "lineitem", "l_orderkey", "l_returnflag", *_FEATURES)
-    return predictivity.impute(predictivity.melt(rows, _FEATURES, target, (F.col("l_orderkey") % 5).cast("int")))
+    return predictivity.melt(rows, _FEATURES, target, (F.col("l_orderkey") % 5).cast("int"))
 
 
 @query(f"""
@@ -338,10 +342,10 @@ def d005_folds_stratified(spark, d):
     return c.groupBy("event_type").agg(F.count("*").cast("long").alias("n"), F.count_distinct("f").cast("long").alias("folds"), (F.max("c") - F.min("c") <= 1).alias("even"))
 
 
-@query("SELECT count(DISTINCT user_id)::BIGINT AS groups, 0::BIGINT AS straddling FROM events")
+@query("SELECT (('0x' || substr(md5(user_id::VARCHAR), 1, 8))::BIGINT % 5)::INT AS fold, count(DISTINCT user_id)::BIGINT AS groups, count(*)::BIGINT AS rows FROM events GROUP BY 1")
 def d005_folds_group(spark, d):
-    e = read(spark, d, "events", "user_id").withColumn("f", predictivity.group_folds("user_id", 5)).groupBy("user_id").agg(F.count_distinct("f").alias("k"))
-    return e.agg(F.count("*").cast("long").alias("groups"), F.count_if(F.col("k") > 1).cast("long").alias("straddling"))
+    e = read(spark, d, "events", "user_id").withColumn("fold", predictivity.group_folds("user_id", 5))
+    return e.groupBy("fold").agg(F.count_distinct("user_id").cast("long").alias("groups"), F.count("*").cast("long").alias("rows"))
 
 
 @query("""
@@ -364,20 +368,26 @@ def d005_accuracy_categorical(spark, d):
     return got.select("feature", F.round("score", 9).alias("score"), "folds")
 
 
-@query("SELECT event_id FROM events WHERE event_id % 5 < 4 QUALIFY row_number() OVER (ORDER BY event_id) <= 200")
+@query("SELECT event_id FROM events WHERE event_id % 5 < 4 AND event_id < 200")
 def smp_head(spark, d):
-    e = halves(read(spark, d, "events", "event_id"), "event_id")[0]
-    return e.orderBy("event_id").limit(200).select("event_id")
+    return statistics.head_sample(halves(read(spark, d, "events", "event_id"), "event_id")[0], 200).select("event_id")
 
 
-@query("SELECT least(500, count(*))::BIGINT AS n FROM events")
+@query("SELECT event_id FROM events ORDER BY md5('0:' || event_id), event_id LIMIT 500")
 def smp_fixed(spark, d):
-    return statistics.fixed_sample(read(spark, d, "events", "event_id"), 500, "event_id").agg(F.count("*").cast("long").alias("n"))
+    return statistics.fixed_sample(read(spark, d, "events", "event_id"), 500, "event_id")
 
 
-@query("SELECT 'source' AS column, false AS looks_like_image, false AS looks_like_text UNION ALL SELECT 'text', false, true")
+@query(r"""
+WITH v AS (SELECT 'source' AS c, doc_id AS p, source AS v FROM documents UNION ALL SELECT 'text', doc_id, text FROM documents
+  UNION ALL SELECT 'picture', doc_id, CASE WHEN doc_id % 10 = 3 THEN 'none' ELSE 'shots/' || doc_id || '.PNG' END FROM documents),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY p) AS n FROM v WHERE v IS NOT NULL) WHERE n <= 200)
+SELECT c AS column, avg(CASE WHEN n <= 20 THEN regexp_matches(lower(v), '\.(png|jpg|jpeg|gif|bmp|webp|tif|tiff)$')::INT END) >= 0.8 AS looks_like_image,
+  max(length(v)) >= 24 OR avg(len(list_filter(regexp_split_to_array(v, '\s+'), lambda x: x <> ''))) >= 4 OR count(DISTINCT v) > greatest(10, count(*) / 2) AS looks_like_text
+FROM f GROUP BY c""")
 def typ_columns(spark, d):
-    return statistics.column_kinds(read(spark, d, "documents", "doc_id", "text", "source").withColumnRenamed("doc_id", "_pos"))
+    picture = F.when(F.col("_pos") % 10 == 3, F.lit("none")).otherwise(F.concat(F.lit("shots/"), F.col("_pos").cast("string"), F.lit(".PNG")))
+    return statistics.column_kinds(read(spark, d, "documents", "doc_id", "text", "source").withColumnRenamed("doc_id", "_pos").withColumn("picture", picture))
 
 
 @query("SELECT event_id, round((value - avg(value) OVER ()) / stddev_pop(value) OVER (), 6) AS z FROM events")
@@ -385,9 +395,9 @@ def zscore_events(spark, d):
     return statistics.zscore(read(spark, d, "events", "event_id", "value"), "value").select("event_id", F.round("z", 6).alias("z"))
 
 
-@query(r"""SELECT doc_id, length(trim(regexp_replace(lower(text), '[\s\x{00A0}]+', ' ', 'g')))::INT AS n FROM documents WHERE text IS NOT NULL""")
+@query(r"""SELECT doc_id, md5(trim(regexp_replace(lower(text), '[\s\x{00A0}]+', ' ', 'g'))) AS digest FROM documents WHERE text IS NOT NULL""")
 def fn_text_normal(spark, d):
-    return read(spark, d, "documents", "doc_id", "text").select("doc_id", F.length(fn.normal_text(F.col("text"))).alias("n"))
+    return read(spark, d, "documents", "doc_id", "text").select("doc_id", F.md5(fn.normal_text(F.col("text"))).alias("digest"))
 
 
 # Findings made of the events table: a few thousand observations with ties.
@@ -434,6 +444,9 @@ def findings_gate_any(spark, d):
     return findings.any_gated(findings.gated(findings.dedupe(observations(spark, d))))
 
 
+_CLASSES = ("StandardScaler", "SMOTE", "SelectKBest", "SimpleImputer", "GridSearchCV", "Normalizer", "PCA")
+
+
 # An event log made of the events table: a few sessions, rows touched by each event.
 def event_log(spark, d) -> tuple[DataFrame, DataFrame]:
     e = read(spark, d, "events", "event_id", "user_id", "event_type")
@@ -443,18 +456,19 @@ def event_log(spark, d) -> tuple[DataFrame, DataFrame]:
         (F.col("user_id") % 3).cast("string").alias("session_id"), k.alias("ordinal"),
         F.when(k % 3 == 0, "fit").when(k % 3 == 1, "score").otherwise("cross_validation").alias("kind"),
         F.concat(F.lit("s.py:"), (k % 40).cast("string")).alias("call_site"),
-        F.when(k % 2 == 0, "StandardScaler").otherwise("LogisticRegression").alias("class"),
+        F.when(k % 2 == 0, F.element_at(F.array(*[F.lit(c) for c in _CLASSES]), (F.floor(k / 2) % 7 + 1).cast("int"))).otherwise("LogisticRegression").alias("class"),
         F.when(k % 4 == 0, "fit_transform").when(k % 4 == 2, "fit").otherwise("score").alias("method"),
         F.transform(rows, lambda r: F.struct(F.lit("d").alias("dataset_id"), r.cast("string").alias("row_key"))).alias("input_rows"),
         F.transform(F.slice(rows, 1, 1), lambda r: F.struct(F.lit("d").alias("dataset_id"), r.cast("string").alias("row_key"))).alias("eval_rows"),
-        F.array().cast("array<string>").alias("components"), F.array(k - 2).alias("origins"), F.lit(False).alias("concat_sources"),
+        F.when(k % 30 == 0, F.array(F.lit("SelectKBest"))).otherwise(F.array().cast("array<string>")).alias("components"), F.array(k - 2).alias("origins"), (k % 5 == 0).alias("concat_sources"),
     )
     member = spark.range(50).select(F.lit("d").alias("dataset_id"), F.col("id").cast("string").alias("row_key"), F.when(F.col("id") % 5 == 4, "test").when(F.col("id") % 5 == 3, "val").otherwise("train").alias("split"))
     return log, member
 
 
 _LOG = """WITH e AS (SELECT (user_id % 3)::VARCHAR AS session_id, event_id AS ordinal, CASE event_id % 3 WHEN 0 THEN 'fit' WHEN 1 THEN 'score' ELSE 'cross_validation' END AS kind,
-  CASE WHEN event_id % 2 = 0 THEN 'StandardScaler' ELSE 'LogisticRegression' END AS class, CASE event_id % 4 WHEN 0 THEN 'fit_transform' WHEN 2 THEN 'fit' ELSE 'score' END AS method,
+  CASE WHEN event_id % 2 = 0 THEN ['StandardScaler','SMOTE','SelectKBest','SimpleImputer','GridSearchCV','Normalizer','PCA'][(event_id // 2) % 7 + 1] ELSE 'LogisticRegression' END AS class,
+  event_id % 30 = 0 AS picks, event_id % 5 = 0 AS joined, CASE event_id % 4 WHEN 0 THEN 'fit_transform' WHEN 2 THEN 'fit' ELSE 'score' END AS method,
   list_distinct([event_id % 50, (event_id * 6) % 50, CASE WHEN event_id % 3 = 0 THEN (event_id * 7) % 50 ELSE event_id % 50 END]) AS rows, event_id % 50 AS ev, event_id - 2 AS origin FROM events),
 x AS (SELECT session_id, ordinal, unnest(rows) AS r FROM e),
 c AS (SELECT session_id, ordinal, count(*) FILTER (r % 5 < 3)::BIGINT AS train_rows, count(*) FILTER (r % 5 = 3)::BIGINT AS val_rows, count(*) FILTER (r % 5 = 4)::BIGINT AS test_rows FROM x GROUP BY ALL)"""
@@ -466,8 +480,9 @@ def runtime_membership_counts(spark, d):
     return runtime.side_counts(log, member, "input_rows").select("session_id", "ordinal", "train_rows", "val_rows", "test_rows")
 
 
-@query(_LOG + """ SELECT session_id, ordinal, CASE WHEN method = 'fit_transform' THEN 'P001' ELSE 'S001' END AS rule_id, test_rows + val_rows AS leaked_rows
-FROM e JOIN c USING (session_id, ordinal) WHERE kind = 'fit' AND class = 'StandardScaler' AND test_rows + val_rows > 0""")
+@query(_LOG + """, f AS (SELECT session_id, ordinal, CASE WHEN class = 'GridSearchCV' THEN 'C004' WHEN class = 'Normalizer' THEN NULL WHEN class = 'SMOTE' THEN 'S003' WHEN class = 'SelectKBest' OR picks THEN 'S004'
+  WHEN class = 'SimpleImputer' THEN 'P003' WHEN class NOT IN ('StandardScaler', 'PCA') THEN NULL WHEN joined THEN 'P002' WHEN method = 'fit_transform' THEN 'P001' ELSE 'S001' END AS rule_id, test_rows + val_rows AS leaked_rows
+  FROM e JOIN c USING (session_id, ordinal) WHERE kind = 'fit' AND test_rows + val_rows > 0) SELECT * FROM f WHERE rule_id IS NOT NULL""")
 def runtime_fit_leak(spark, d):
     return runtime.fit_leaks(*event_log(spark, d)).select("session_id", "ordinal", "rule_id", "leaked_rows")
 
@@ -488,12 +503,160 @@ def runtime_t002(spark, d):
     return runtime.test_guided_fits(*event_log(spark, d)).select("session_id", "ordinal")
 
 
-@query(_LOG + """ SELECT v.session_id, v.ordinal FROM e v JOIN e f ON f.session_id = v.session_id AND f.ordinal = v.origin AND f.kind = 'fit' AND f.class = 'StandardScaler' WHERE v.kind = 'cross_validation'""")
+@query(_LOG + """ SELECT v.session_id, v.ordinal FROM e v JOIN e f ON f.session_id = v.session_id AND f.ordinal = v.origin AND f.kind = 'fit' AND (f.picks OR f.class IN ('StandardScaler', 'PCA', 'SelectKBest')) WHERE v.kind = 'cross_validation'""")
 def runtime_c001(spark, d):
     return runtime.reused_fits(event_log(spark, d)[0]).select("session_id", "ordinal")
 
 
 @query("""
-WITH l AS (SELECT lang, count(*) AS n FROM documents GROUP BY 1) SELECT lang, n::BIGINT AS n FROM l UNION ALL SELECT NULL, sum(n)::BIGINT FROM l""")
+WITH f AS (SELECT source AS repo, 'R' || (doc_id % 3) AS rule_id FROM documents), g AS (SELECT DISTINCT source AS repo, 'd' || (length(source) % 2) AS domain FROM documents WHERE source <> 'src3')
+SELECT domain, rule_id, count(*)::BIGINT AS n FROM f LEFT JOIN g USING (repo) GROUP BY ROLLUP (domain, rule_id)""")
 def corpus_rollup(spark, d):
-    return read(spark, d, "documents", "lang").rollup("lang").agg(F.count("*").cast("long").alias("n"))
+    """Findings of many repositories by domain and rule; one repository has no domain."""
+    from ..cli import corpus_summary
+
+    docs = read(spark, d, "documents", "doc_id", "source")
+    found = docs.select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".py")).alias("file"), F.concat(F.lit("R"), (F.col("doc_id") % 3).cast("string")).alias("rule_id"))
+    domains = docs.filter("source <> 'src3'").select(F.col("source").alias("repo"), F.concat(F.lit("d"), (F.length("source") % 2).cast("string")).alias("domain")).distinct()
+    return corpus_summary(found, domains)
+
+
+@query("""
+WITH e AS (SELECT DISTINCT user_id % 40 AS repo, 'R' || (event_id % 3) AS rule_id FROM events WHERE event_id % 4 < 2), o AS (SELECT DISTINCT user_id % 40 AS repo, 'R' || (event_id % 3) AS rule_id FROM events WHERE event_id % 4 > 1 AND user_id % 7 < 5),
+j AS (SELECT coalesce(e.rule_id, o.rule_id) AS rule_id, e.repo IS NOT NULL AS x, o.repo IS NOT NULL AS y FROM e FULL JOIN o ON e.repo = o.repo AND e.rule_id = o.rule_id)
+SELECT rule_id, count(*) FILTER (x AND y)::BIGINT AS hits, count(*) FILTER (x AND NOT y)::BIGINT AS missed, count(*) FILTER (y AND NOT x)::BIGINT AS extra FROM j GROUP BY 1""")
+def corpus_confusion(spark, d):
+    """Expected against observed findings."""
+    e = read(spark, d, "events", "event_id", "user_id").select("event_id", "user_id", (F.col("user_id") % 40).alias("repo"), F.concat(F.lit("R"), (F.col("event_id") % 3).cast("string")).alias("rule_id"))
+    m = F.col("event_id") % 4
+    return statistics.confusion(e.filter(m < 2).select("repo", "rule_id"), e.filter((m > 1) & (F.col("user_id") % 7 < 5)).select("repo", "rule_id"), ["rule_id"])
+
+
+_MEAN = "(" + " + ".join(f"embedding[{k + 1}]::DOUBLE" for k in range(64)) + ") / 64"
+_HALF = [" + ".join(f"((embedding[{k + 1}]::DOUBLE > m)::BIGINT << {k % 32})" for k in r) for r in (range(32), range(32, 64))]
+
+
+@query(f"WITH e AS (SELECT *, {_MEAN} AS m FROM embeddings) SELECT vec_id, {_HALF[0]} AS low, {_HALF[1]} AS high FROM e")
+def d002_mean_hash(spark, d):
+    """Mean hash of 64 grey values."""
+    h = read(spark, d, "embeddings", "vec_id", "embedding").select("vec_id", similarity.mean_bits("embedding").alias("h"))
+    return h.select("vec_id", F.col("h").bitwiseAND(F.lit((1 << 32) - 1)).alias("low"), F.shiftrightunsigned("h", 32).alias("high"))
+
+
+@query("""
+WITH c AS (SELECT fold, l_discount AS x, sum(n) AS n, sum(sy) AS sy, sum(syy) AS syy FROM (SELECT (l_orderkey % 5)::INT AS fold, l_discount, count(*) AS n, sum(l_tax::DOUBLE) AS sy, sum(l_tax::DOUBLE * l_tax) AS syy FROM lineitem GROUP BY ALL) GROUP BY ALL),
+f AS (SELECT DISTINCT fold FROM c), r AS (SELECT f.fold, x, sum(sy) / sum(n) AS g FROM f JOIN c ON c.fold <> f.fold GROUP BY ALL),
+s AS (SELECT fold, 1 - sum(syy - 2 * g * sy + n * g * g) / (sum(syy) - sum(sy) * sum(sy) / sum(n)) AS r2 FROM c JOIN r USING (fold, x) GROUP BY 1)
+SELECT 'l_discount' AS feature, round(avg(r2), 6) AS score, count(*)::BIGINT AS folds FROM s""")
+def d005_r2_categorical(spark, d):
+    rows = read(spark, d, "lineitem", "l_orderkey", "l_discount", "l_tax")
+    got = predictivity.summarise(predictivity.fold_mean_r2(rows, "l_discount", "l_tax", F.col("l_orderkey") % 5), "r2")
+    return got.select("feature", F.round("score", 6).alias("score"), "folds")
+
+
+@query("""
+WITH r AS (SELECT *, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS r, count(*) OVER () AS n FROM orders),
+b AS (SELECT o_orderpriority AS x, o_orderstatus AS y, CASE WHEN r < n - (n // 5) * 4 THEN 0 ELSE greatest(0, (r - (n - (n // 5) * 4)) // (n // 5) + 1) END AS fold FROM r),
+c AS (SELECT fold, x, y, count(*) AS n FROM b GROUP BY ALL), f AS (SELECT DISTINCT fold FROM c WHERE fold > 0),
+p AS (SELECT f.fold, x, y, sum(n) AS n FROM f JOIN c ON c.fold < f.fold GROUP BY ALL), g AS (SELECT fold, x, arg_max(y, n * 1000 + ascii(y)) AS guess FROM p GROUP BY ALL),
+s AS (SELECT fold, sum(n) FILTER (guess = y) / sum(n) AS a FROM c JOIN g USING (fold, x) GROUP BY 1)
+SELECT 'o_orderpriority' AS feature, round(avg(a), 9) AS score, count(*)::BIGINT AS folds FROM s""")
+def d005_accuracy_in_time(spark, d):
+    """Each block of time is tested on all earlier ones."""
+    o = read(spark, d, "orders", "o_orderkey", "o_orderdate", "o_orderpriority", "o_orderstatus").withColumn("_pos", F.col("o_orderkey"))
+    timed = predictivity.time_folds(o, "o_orderdate", 4)
+    got = predictivity.summarise(predictivity.fold_accuracy(timed, "o_orderpriority", "o_orderstatus", F.col("block"), True), "accuracy")
+    return got.select("feature", F.round("score", 9).alias("score"), "folds")
+
+
+_SIDES = "CASE WHEN s_suppkey % 5 = 4 THEN 'test' WHEN s_suppkey % 5 = 3 THEN 'val' ELSE 'train' END"
+
+
+def _suppliers(spark, d) -> tuple[DataFrame, DataFrame]:
+    s = read(spark, d, "supplier", "s_suppkey", "s_nationkey")
+    m = F.col("s_suppkey") % 5
+    return s, lineage.register_split({"train": s.filter(m < 3), "val": s.filter(m == 3), "test": s.filter(m == 4)}, "s_suppkey", "d")
+
+
+@query(f"SELECT s_suppkey::VARCHAR AS row_key, {_SIDES} AS split FROM supplier")
+def runtime_register_split(spark, d):
+    return _suppliers(spark, d)[1].select("row_key", "split")
+
+
+@query(f"SELECT s_suppkey::VARCHAR AS row, {_SIDES} AS splits FROM supplier WHERE s_nationkey < 10")
+def runtime_index_join(spark, d):
+    """A frame that dropped rows keeps its index: its rows are found by it."""
+    s, member = _suppliers(spark, d)
+    lin = lineage.transformed(lineage.declared(s, "s_suppkey", "d"), s.filter("s_nationkey < 10"), "s_suppkey")
+    return lineage.sides(lineage.by_index(s.filter("s_nationkey < 10"), "s_suppkey", lin), member).select("row", F.array_join("splits", ",").alias("splits"))
+
+
+@query(f"""
+WITH s AS (SELECT s_nationkey AS v, {_SIDES} AS split FROM supplier)
+SELECT s_suppkey::VARCHAR AS row, (SELECT string_agg(DISTINCT split, ',' ORDER BY split) FROM s WHERE v = s_nationkey) AS splits FROM supplier WHERE s_suppkey % 2 = 0""")
+def runtime_content_match(spark, d):
+    """Rows without an index, found by their values: all alike rows count."""
+    s, member = _suppliers(spark, d)
+    lin = lineage.by_content(s.filter("s_suppkey % 2 = 0"), "s_suppkey", s, "s_suppkey", ["s_nationkey"], "d")
+    return lineage.sides(lin, member).select("row", F.array_join("splits", ",").alias("splits"))
+
+
+@query(f"""
+WITH s AS (SELECT s_suppkey AS k, {_SIDES} AS split FROM supplier)
+SELECT '0:' || k AS row, split AS splits FROM s WHERE k % 3 = 0 UNION ALL
+SELECT '1:' || a.k, CASE WHEN b.split IS NULL OR a.split = b.split THEN a.split ELSE least(a.split, b.split) || ',' || greatest(a.split, b.split) END FROM s a LEFT JOIN s b ON b.k = a.k + 1""")
+def runtime_concat_assembly(spark, d):
+    """Frames below each other; the second has columns of the next row beside its own."""
+    s, member = _suppliers(spark, d)
+    own = lineage.declared(s, "s_suppkey", "d")
+    beside = own.withColumn("row", (F.col("row").cast("long") - 1).cast("string")).join(own.select("row"), "row", "left_semi")
+    both = lineage.stacked([lineage.transformed(own, s.filter("s_suppkey % 3 = 0"), "s_suppkey"), lineage.assembled([own, beside])])
+    return lineage.sides(both, member).select("row", F.array_join("splits", ",").alias("splits"))
+
+
+@query("SELECT session_id, event_id, row_number() OVER (PARTITION BY session_id ORDER BY ts, call_site)::BIGINT AS ordinal FROM (SELECT user_id % 3 AS session_id, event_id, ts, lpad(event_id::VARCHAR, 12, '0') AS call_site FROM events)")
+def runtime_run_ordinal(spark, d):
+    """Events that came without an ordinal, by time."""
+    e = read(spark, d, "events", "event_id", "user_id", "ts")
+    log = e.select((F.col("user_id") % 3).alias("session_id"), "event_id", F.col("ts").alias("at"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("call_site"), F.lit(None).cast("long").alias("ordinal"))
+    return lineage.numbered(log).select("session_id", "event_id", "ordinal")
+
+
+# Static rules: every second supplier has the rule's bad script, the others its good one.
+def _scripts(spark, d, *scripts: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    text = F.element_at(F.array(*[F.lit(x) for x in scripts]), (k % len(scripts) + 1).cast("int"))
+    return extract.extract(read(spark, d, "supplier", "s_suppkey").select(F.concat(F.lit("s"), k.cast("string"), F.lit(".py")).alias("path"), text.alias("content")))
+
+
+def _static(rule: str):
+    bad, good = EXAMPLES[rule]
+
+    def run(spark, d):
+        return static_rules.findings(_scripts(spark, d, bad, good), (rule,)).select("path", "rule_id").distinct()
+
+    run.__name__ = f"static_{rule.lower()}"
+    return query(f"SELECT 's' || s_suppkey || '.py' AS path, '{rule}' AS rule_id FROM supplier WHERE s_suppkey % 2 = 0")(run)
+
+
+for _rule in EXAMPLES:
+    _static(_rule)
+
+
+@query("""SELECT 's' || s_suppkey || '.py' AS path, CASE WHEN s_suppkey % 4 = 2 THEN 'LP201' ELSE 'R001' END AS code FROM supplier WHERE s_suppkey % 4 IN (0, 2)
+UNION ALL SELECT 's' || s_suppkey || '.py', 'R001' FROM supplier WHERE s_suppkey % 4 = 2""")
+def static_suppressions(spark, d):
+    """Without a comment, silenced by id, by a bare comment (a problem that silences nothing), and by file."""
+    bad = EXAMPLES["R001"][0].rstrip("\n")
+    facts = _scripts(spark, d, bad, bad + "  # tidemark: ignore[R001]\n", bad + "  # tidemark: ignore\n", bad + "\n# tidemark: ignore-file\n")
+    found = static_rules.findings(facts, ("R001",)).select("path", F.col("rule_id").alias("code"))
+    return found.unionByName(facts.filter("kind = 'problem'").select("path", F.col("name").alias("code"))).distinct()
+
+
+@query("""
+WITH k AS (SELECT s_suppkey AS k FROM supplier), f AS (SELECT k, unnest(['import', 'split', 'fit', 'call']) AS kind FROM k)
+SELECT 's' || k || '.py' AS path, kind, true AS seen FROM f WHERE kind = 'import' OR (kind = 'split' AND k % 3 < 2) OR (kind = 'fit' AND k % 3 = 0) OR (kind = 'call' AND k % 3 < 2) OR (kind = 'call' AND k % 3 = 2)""")
+def static_facts(spark, d):
+    """Which kinds of facts scripts give: with a split and a fit, with a split, with neither."""
+    facts = _scripts(spark, d, EXAMPLES["P001"][0], EXAMPLES["R001"][0], EXAMPLES["R002"][0])
+    return facts.filter(F.col("kind").isin("import", "split", "fit", "call")).select("path", "kind", F.lit(True).alias("seen")).distinct()

@@ -9,8 +9,10 @@ unknown; after a loop both ways are merged. What depends on later statements
 from __future__ import annotations
 
 import ast
+import fnmatch
 import io
 import json
+import os
 import re
 import tokenize
 from collections.abc import Iterator
@@ -20,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..deploy import ship
+from ..registry import RULES
 from .frameworks import kinds_of
 
 FACTS = (
@@ -355,12 +358,25 @@ def facts_of(path: str, content: str | bytes) -> list[dict]:
     for line, text in comments(content):
         if m := _IGNORE.search(text):
             row = ast.Constant(None, lineno=line, col_offset=0)
-            w.fact(row, "suppress", name=m[1], args=[x.strip() for x in (m[2] or "").split(",") if x.strip()])
+            ids = [x.strip() for x in (m[2] or "").split(",") if x.strip()]
+            odd = [x for x in ids if x not in RULES]
+            if m[1] == "ignore" and (odd or not ids):  # it says nothing: nothing is silenced by it
+                w.fact(row, "problem", name="LP201", text=f"unknown rule {', '.join(odd)}" if odd else "ignore needs the ids of rules in brackets")
+            if m[1] == "ignore-file" or len(ids) > len(odd):
+                w.fact(row, "suppress", name=m[1], args=[x for x in ids if x not in odd])
     return w.rows
 
 
+#: Folders that hold no source of one's own.
+PRUNED = (".git", ".hg", ".tox", ".nox", ".venv", "venv", "__pycache__", "node_modules", ".ipynb_checkpoints", "site-packages")
+
+
 def read_sources(spark: SparkSession, *paths: str, exclude: tuple[str, ...] = ()) -> DataFrame:
-    """path, content (bytes) of .py and .ipynb files below the paths; those with an excluded part are left out."""
+    """path, content (bytes) of .py and .ipynb files below the paths, each once.
+
+    Left out are folders of ``PRUNED`` and what ``exclude`` names: a path below one of the roots or the
+    beginning of one, a pattern with * and ?, or a folder anywhere.
+    """
     found = None
     for p in paths:
         for g in ("*.py", "*.ipynb"):
@@ -368,14 +384,19 @@ def read_sources(spark: SparkSession, *paths: str, exclude: tuple[str, ...] = ()
                 part = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", g).load(p)
             except Exception as e:
                 raise FileNotFoundError(f"LP003: {p} cannot be read") from e
-            part = part.select("path", "content")
+            root = p.split("://", 1)[-1] if "://" in p else os.path.abspath(p)
+            inside = F.element_at(F.split("path", f"\\Q{root.rstrip('/')}/\\E", 2), -1)
+            part = part.select("path", "content", inside.alias("_inside"))
             found = part if found is None else found.unionByName(part)
     if found is None:
         raise ValueError("LP002: no paths")
-    for x in exclude:
-        part = x.strip("/")
-        found = found.filter(~F.col("path").contains(f"/{part}/"))
-    return found.dropDuplicates(["path"])
+    for x in (*PRUNED, *exclude):
+        part = x.rstrip("/")
+        out = (F.col("_inside") == part) | F.col("_inside").startswith(f"{part}/") | F.concat(F.lit("/"), "_inside").contains(f"/{part.strip('/')}/")
+        if set(part) & set("*?["):
+            out = out | F.col("_inside").rlike(f"^{fnmatch.translate(part)}") | F.col("_inside").rlike(f"^{fnmatch.translate(part + '/*')}")
+        found = found.filter(~out)
+    return found.drop("_inside").dropDuplicates(["path"])
 
 
 def extract(sources: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ drops what comments suppress, and adds severity and confidence.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,14 +74,19 @@ class Rules:
         )
         return f.filter(leaky).withColumn("_rule", rule).filter("_rule is not null").drop("_before", "_concat")
 
+    def cv_fits(self) -> DataFrame:
+        """Fits whose output a cross-validation or a search reads."""
+        some = _is("transformer") | _is("selector") | _is("resampler") | _is("imputer")
+        fits = self.fits.filter(some & ~_is("stateless") & ~F.col("in_pipeline"))
+        searches = self.fits.filter(_is("search"))
+        return _touches(fits, "outs", _keys(self.cv, "closure").unionByName(_keys(searches, "closure")))
+
     def full_fits(self) -> DataFrame:
-        return _out(self.owned_fits(), F.col("_rule"))
+        """Without those that C001 owns."""
+        return _out(self.owned_fits().join(self.cv_fits().select("path", "seq"), ["path", "seq"], "left_anti"), F.col("_rule"))
 
     def c001(self) -> DataFrame:
-        fits = self.fits.filter((_is("transformer") | _is("selector")) & ~_is("stateless") & ~F.col("in_pipeline"))
-        clean = fits.join(self.owned_fits().select("path", "seq"), ["path", "seq"], "left_anti")
-        searches = self.fits.filter(_is("search"))
-        return _out(_touches(clean, "outs", _keys(self.cv, "closure").unionByName(_keys(searches, "closure"))), "C001")
+        return _out(self.cv_fits(), "C001")
 
     def _hinted(self, hints: tuple[str, ...]) -> DataFrame:
         named = self.columns.unionByName(self.assigns).filter(has_hint(F.col("name"), list(hints)))
@@ -174,18 +181,22 @@ class Rules:
         centred = self.calls.filter((F.col("name") == "rolling") & (F.coalesce(F.col("keywords")["center"], F.lit("")) == "True")).join(self.splits.select("path").distinct(), "path", "left_semi")
         return _out(ahead.filter(~into_target), "TM002").unionByName(_out(centred, "TM002"))
 
-    def all(self) -> DataFrame:
-        parts = [self.full_fits(), self.c001(), self.c002(), self.c003(), self.c004(), self.c005(), self.c006(), self.m002(), self.m003(), self.m004(), self.r001(), self.r002(), self.s002(), self.t002(), self.t003(), self.tm002()]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
+    def parts(self) -> dict[str, DataFrame]:
+        """Lazy plans by rule; rules on full fits share one."""
+        full = self.full_fits()
+        names = ("c001", "c002", "c003", "c004", "c005", "c006", "m002", "m003", "m004", "r001", "r002", "s002", "t002", "t003", "tm002")
+        return {r: full for r in ("P001", "P002", "P003", "S001", "S003", "S004")} | {n.upper(): getattr(self, n)() for n in names}
+
+    def all(self, only: tuple[str, ...] | None = None) -> DataFrame:
+        asked = [p for r, p in self.parts().items() if only is None or r in only]
+        out = reduce(DataFrame.unionByName, list({id(p): p for p in asked}.values()))
+        if only is not None:
+            out = out.filter(F.col("rule_id").isin(*only))
         whole = self.f.filter("kind = 'suppress' and name = 'ignore-file'").select("path").distinct()
-        lines = self.f.filter("kind = 'suppress' and name = 'ignore'").select("path", "line", F.col("args").alias("ids"))
-        some = lines.filter(F.size("ids") > 0).select("path", "line", F.explode("ids").alias("rule_id"))
-        bare = lines.filter(F.size("ids") == 0).select("path", "line")
-        return out.join(whole, "path", "left_anti").join(some, ["path", "line", "rule_id"], "left_anti").join(bare, ["path", "line"], "left_anti")
+        some = self.f.filter("kind = 'suppress' and name = 'ignore'").select("path", "line", F.explode("args").alias("rule_id"))
+        return out.join(whole, "path", "left_anti").join(some, ["path", "line", "rule_id"], "left_anti")
 
 
-def findings(facts: DataFrame) -> DataFrame:
+def findings(facts: DataFrame, only: tuple[str, ...] | None = None) -> DataFrame:
     meta = facts.sparkSession.createDataFrame([(r.id, r.category, r.severity, r.static_confidence, r.advisory, r.title) for r in RULES.values() if r.static_confidence], "rule_id string, category string, severity string, confidence double, advisory boolean, title string")
-    return Rules(facts).all().join(F.broadcast(meta), "rule_id")
+    return Rules(facts).all(only).join(F.broadcast(meta), "rule_id")
