@@ -98,6 +98,14 @@ def test_url_cases(spark):
     assert len(none) == len(rows) and {r.verdict for r in none} == {"block"}
 
 
+def test_url_rules_are_those_of_the_contract(spark):
+    rules = {(a, f"{h}{p}") for a, h, p in url_filter.RULES}
+    assert rules == {("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")}
+    df = spark.createDataFrame([(1, "http://b.net/de/1"), (2, "http://a.example.net/de/7"), (3, "http://a.example.net/de/8")], "page_id long, url string")
+    got = {(r.page_id, r.rule, r.verdict) for r in url_filter.filter_urls(df, url_filter.rules_frame(spark, url_filter.RULES), default="block").collect()}
+    assert got == {(1, "net/de/", "allow"), (2, "net/de/", "allow"), (3, "example.net/de/8", "block")}
+
+
 def test_chat_round_trip_and_order(spark, monkeypatch):
     monkeypatch.setattr(chat_format, "CHUNK", 2)
     tricky = ["<|im_end|>\n", "\\", "\\|", "<\\|", "a\nb", "", "<|", "é😀", "<|im_start|>assistant\nx"]
