@@ -120,6 +120,28 @@ def test_text_join_equals_brute_force(spark):
         assert sum(r.links * r["rows"] for r in got) == sum(want.values())
 
 
+def test_vector_join_equals_brute_force_and_visits_few(spark, monkeypatch):
+    """Many components: the first axes tell little, planes between pivots do."""
+    rng = np.random.default_rng(6)
+    monkeypatch.setattr(similarity, "PIVOTS", 16)
+    monkeypatch.setattr(similarity, "HELD", 5)
+    x = rng.normal(0, 0.125, (300, 64))
+    y = np.r_[x[:60] + rng.normal(0, 0.015, (60, 64)), rng.normal(0, 0.125, (40, 64)), x[60:62]]
+    x = np.r_[x, x[60:61]]
+    rows = lambda m: [(i, [float(v) for v in r]) for i, r in enumerate(m)]
+    odd = [(900, None), (901, [None] * 64), (902, [float("nan")] * 64), (903, [1.0] * 9), (904, [float("inf")] * 64)]
+    df = lambda m: spark.createDataFrame(rows(m) + odd, "_pos long, v array<double>")
+    got = {r.r_pos: (r.l_pos, round(r.distance, 9)) for r in similarity.nearest_within(df(x), df(y), 0.02).collect()}
+    want = {903: (903, 0.0)}
+    for j, b in enumerate(y):
+        d = np.sqrt(((x - b) ** 2).sum(1)) / 8
+        if d.min() <= 0.02:
+            want[j] = (int(d.argmin()), round(float(d.min()), 9))
+    assert got == want and len(want) > 50
+    grid = similarity._by_grid(df(x).select(F.col("_pos").alias("l_pos"), F.col("v").alias("lv")), df(y).select(F.col("_pos").alias("r_pos"), F.col("v").alias("rv")), 0.02, 64, 3)
+    assert {r.r_pos: (r.l_pos, round(r.distance, 9)) for r in grid.collect()} == want
+
+
 def test_numeric_join_equals_brute_force(spark):
     rng = np.random.default_rng(4)
     x, y = rng.random((200, 3)).round(2), rng.random((80, 3)).round(2)
