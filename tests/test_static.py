@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 from tidemark.static import extract, rules
 from tidemark.static.examples import EXAMPLES as PAIRS
 from tidemark.static.examples import CV, HEAD, SCALE, SPLIT
@@ -84,3 +85,14 @@ def test_excluded_by_prefix_and_pattern(spark, tmp_path):
     assert left("pkg/old") == {"b.py", "b_old.py", "c.py"}
     assert left("*_old.py") == {"a.py", "b.py", "c.py"}
     assert left("c.py", "old") == {"b.py", "b_old.py"}
+
+
+def test_files_are_dealt_and_walked_once(spark):
+    """Files of one block go to all tasks, facts are written before rules read them, in parts of few files."""
+    bad = PAIRS["P002"][0]
+    src = spark.range(3 * extract.FILES, numPartitions=1).select(F.concat(F.lit("s"), F.col("id").cast("string"), F.lit(".py")).alias("path"), F.lit(bad).alias("content"))
+    made = []
+    facts = extract.extract(src, lambda name, df: made.append((name, df.rdd.getNumPartitions())) or df.localCheckpoint())
+    assert made == [("facts", 4 * spark.sparkContext.defaultParallelism)]
+    assert facts.groupBy("path").count().agg(F.count("*"), F.min("count") == F.max("count")).first()[:] == (3 * extract.FILES, True)
+    assert rules.findings(facts, ("P002",)).select("path").distinct().count() == 3 * extract.FILES
