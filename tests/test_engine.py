@@ -89,6 +89,19 @@ def test_runtime_rules_name_one_owner(spark):
     assert {r.ordinal for r in runtime.mixed_concats(log, member).collect()} == {1, 2}
 
 
+def test_sides_by_content_make_no_pairs(spark):
+    from tidemark.runtime import lineage
+
+    df = spark.range(400).select(F.col("id").alias("k"), F.when(F.col("id") % 9 > 0, F.col("id") % 2).alias("v"))
+    m = F.col("k") % 5
+    member = lineage.register_split({"train": df.filter((m < 3) & (F.col("v") == 0)), "test": df.filter((m == 4) | F.col("v").isNull())}, "k", "d")
+    part = df.filter("k % 2 = 0").unionByName(df.filter("k = 1"))
+    want = lineage.sides(lineage.by_content(part, "k", df, "k", ["v"], "d"), member)
+    got = lineage.sides_by_content(part, "k", df, "k", ["v"], "d", member)
+    rows = lambda x: sorted((r.row, tuple(r.splits)) for r in x.collect())
+    assert rows(got) == rows(want) and rows(got)
+
+
 def test_stream_counts_like_the_batch(spark, tmp_path):
     rows = [("s", k, "score", "x", "m", "score", [("d", str(k % 3))]) for k in range(10)]
     df = spark.createDataFrame(rows, events.EVENT)

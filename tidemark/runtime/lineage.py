@@ -38,13 +38,21 @@ def by_index(df: DataFrame, key: str, lineage: DataFrame) -> DataFrame:
 def by_content(df: DataFrame, row: str, known: DataFrame, key: str, columns: list[str], dataset_id: str) -> DataFrame:
     """Rows of an array without an index: those of the declared data with the same values, all of them if several are alike.
 
-    Alike rows of the declared data that meet many rows here are kept as one digest until the end.
+    All pairs of alike rows; where only their sides are asked for, ``sides_by_content`` makes none.
     """
     a = df.select(F.col(f"`{row}`").cast("string").alias("row"), row_digest(df, columns).alias("_d"))
     b = known.select(F.col(f"`{key}`").cast("string").alias("row_key"), row_digest(known, columns).alias("_d")).distinct()
     return a.join(b, "_d").select("row", F.lit(dataset_id).alias("dataset_id"), "row_key").distinct()
 
 
+def sides_by_content(df: DataFrame, row: str, known: DataFrame, key: str, columns: list[str], dataset_id: str, member: DataFrame) -> DataFrame:
+    """``sides`` of ``by_content``, without a row for each pair of alike rows: sides are told by digest first."""
+    a = df.select(F.col(f"`{row}`").cast("string").alias("row"), row_digest(df, columns).alias("_d"))
+    b = known.select(F.lit(dataset_id).alias("dataset_id"), F.col(f"`{key}`").cast("string").alias("row_key"), row_digest(known, columns).alias("_d"))
+    told = b.join(member, ["dataset_id", "row_key"]).groupBy("_d").agg(F.collect_set("split").alias("s"))
+    return a.join(told, "_d").groupBy("row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("s")))).alias("splits"))
+
+
 def stacked(parts: list[DataFrame]) -> DataFrame:
     """Rows of frames below each other (concat): the union, rows told apart by the place of their frame."""
     each = [p.select(F.concat(F.lit(f"{k}:"), "row").alias("row"), "dataset_id", "row_key") for k, p in enumerate(parts)]
