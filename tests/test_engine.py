@@ -102,6 +102,16 @@ def test_sides_by_content_make_no_pairs(spark):
     assert rows(got) == rows(want) and rows(got)
 
 
+def test_ties_of_findings_do_not_hang_on_order(spark):
+    from tidemark.plans import findings
+
+    row = lambda adv, fix: ("P001", "c", "high", "static", "m", "f", 1, None, None, None, 0.9, adv, fix, "{}", "")
+    rows = [row(True, "a"), row(False, "b"), row(False, "a")]
+    for given in (rows, rows[::-1], [rows[1], rows[0], rows[2]]):
+        got = findings.dedupe(spark.createDataFrame(given, findings.FINDING).coalesce(1)).collect()
+        assert [(r.advisory, r.fix) for r in got] == [(False, "a")]
+
+
 def test_stream_counts_like_the_batch(spark, tmp_path):
     rows = [("s", k, "score", "x", "m", "score", [("d", str(k % 3))]) for k in range(10)]
     df = spark.createDataFrame(rows, events.EVENT)

@@ -20,8 +20,10 @@ KEY = ("rule_id", "layer", "file", "line", "col", "label", "cell_index", "identi
 
 
 def dedupe(f: DataFrame) -> DataFrame:
-    """Of equal observations the surest, then the gravest, then the last by message."""
-    best = Window.partitionBy(*KEY).orderBy(F.desc("confidence"), F.desc(severity_rank(F.col("severity"))), F.desc("message"))
+    """Of equal observations the surest, then the gravest, then the last by message; of those still alike
+    one that may gate, then by the other columns, so that the outcome never depends on how rows were dealt."""
+    rest = [F.asc("advisory"), *(F.asc(c) for c in ("category", "fix", "evidence"))]
+    best = Window.partitionBy(*KEY).orderBy(F.desc("confidence"), F.desc(severity_rank(F.col("severity"))), F.desc("message"), *rest)
     return f.withColumn("_k", F.row_number().over(best)).filter("_k = 1").drop("_k")
 
 
