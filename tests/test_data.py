@@ -142,6 +142,15 @@ def test_vector_join_equals_brute_force_and_visits_few(spark, monkeypatch):
     assert {r.r_pos: (r.l_pos, round(r.distance, 9)) for r in grid.collect()} == want
 
 
+def test_numeric_join_looks_once_at_equal_rows(spark, monkeypatch):
+    seen, plain = [], similarity._by_grid
+    monkeypatch.setattr(similarity, "_by_grid", lambda low, high, *a: seen.append(high.count()) or plain(low, high, *a))
+    left = spark.createDataFrame([(1, [0.5, 1.0]), (2, [0.5, 1.0]), (3, [9.0, 9.0])], "_pos long, v array<double>")
+    right = spark.createDataFrame([(k, [0.5, 1.001]) for k in range(20)] + [(20, [9.0, 8.0]), (21, None)], "_pos long, v array<double>")
+    got = {(r.r_pos, r.l_pos) for r in similarity.nearest_within(left, right, 0.01).collect()}
+    assert got == {(k, 1) for k in range(20)} and seen == [3]
+
+
 def test_numeric_join_equals_brute_force(spark):
     rng = np.random.default_rng(4)
     x, y = rng.random((200, 3)).round(2), rng.random((80, 3)).round(2)
