@@ -120,6 +120,36 @@ def test_text_join_equals_brute_force(spark):
         assert sum(r.links * r["rows"] for r in got) == sum(want.values())
 
 
+def test_text_join_in_many_blocks_writes_no_pairs(spark, tmp_path, monkeypatch):
+    """Few words, so that most texts share fingerprints: steps hold a row a class, whatever the pairs."""
+    monkeypatch.setattr(similarity, "BLOCK", 4096)
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(60)]
+    docs = [" ".join(rng.choice(words, int(rng.integers(20, 60)))) for _ in range(200)]
+    near = " ".join(rng.choice(words, 80))
+    docs += [near + " " + w for w in words[:40]] + [near, near, "a", "b", "a", "abcde", "abcdef"]
+    df = spark.createDataFrame(list(enumerate(docs)), "_pos long, text string")
+    held = {}
+
+    def put(name, t):
+        t.write.parquet(f"{tmp_path}/{name}{len(held)}")
+        t = spark.read.parquet(f"{tmp_path}/{name}{len(held)}")
+        held[f"{name}{len(held)}"] = t.count()
+        return t
+
+    left, right = df.filter("_pos % 3 < 2"), df.filter("_pos % 3 = 2")
+    got = {r.r_pos: (r["rows"], r.links, round(r.best, 9), r.l_pos) for r in similarity.text_near_rows(similarity.text_links(left, right, "text", 0.8, put)).collect()}
+    sets, want, first = {i: shingles(t) for i, t in enumerate(docs)}, {}, {}
+    for b in range(2, len(docs), 3):
+        b0 = first.setdefault(docs[b], b)
+        score = {a: len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in range(len(docs)) if a % 3 < 2}
+        if near := {a: x for a, x in score.items() if x >= 0.8}:
+            n = want[b0][0] + 1 if b0 in want else 1
+            want[b0] = (n, len(near), round(max(near.values()), 9), min(a for a, x in near.items() if x == max(near.values())))
+    assert got == want
+    assert any(n > 3 for k, n in held.items() if k.startswith("sketches_")) and max(held.values()) <= len(set(docs))
+
+
 def test_vector_join_equals_brute_force_and_visits_few(spark, monkeypatch):
     """Many components: the first axes tell little, planes between pivots do."""
     rng = np.random.default_rng(6)
