@@ -4,6 +4,7 @@ import itertools
 import json
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tidemark.config import Config, DataConfig
@@ -286,6 +287,51 @@ def test_mutual_information_reads_all_rows(spark):
         assert abs(got[name] - predictivity.knn_mi(v[at], y[at] + 1)) < 1e-9
 
 
+def test_mutual_information_in_many_ranges(spark, monkeypatch):
+    """No task holds a feature, and ranges that cut ties and rare classes change nothing."""
+    from tidemark.plans.queries import writer
+
+    monkeypatch.setattr(predictivity, "HELD", 900)
+    monkeypatch.setattr(predictivity, "DRAWN", 700)
+    rng, n = np.random.default_rng(5), 12_000
+    y = np.where(np.arange(n) == 77, 9, np.where(rng.random(n) < 0.0004, 3, np.where(rng.random(n) < 0.4, 1, 0)))
+    cols = {"ties": np.floor(rng.random(n) * 4) + y % 2, "many": rng.lognormal(size=n) * (1 + y % 2), "one": np.ones(n), "small": np.r_[rng.random(n - 3), 1e6, 2e6, -1e6]}
+    df = spark.createDataFrame([(*map(float, v), f"c{c}") for *v, c in zip(*cols.values(), y, strict=True)], ", ".join(f"{c} double" for c in cols) + ", y string")
+    ranges = []
+
+    def put(name, t):
+        t = writer(spark)(name, t)
+        if name == "cells":
+            ranges.append(t.filter("y < 0").groupBy("f").count().agg({"count": "min"}).first()[0])
+        return t
+
+    # Ranks come in several files.
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        got = {r.feature: r.mi for r in predictivity.continuous_mi(df, list(cols), "y", put).collect()}
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+    code = np.unique(y, return_inverse=True)[1].astype(float)
+    for name, v in cols.items():
+        at = np.lexsort((code, v))
+        assert abs(got[name] - predictivity.knn_mi(v[at], code[at])) < 1e-7, name
+    assert ranges[0] >= 10
+
+
+def test_runs_are_spread_in_any_order(monkeypatch):
+    """A batch may hold the rows of several files, whose ranks do not follow each other."""
+    monkeypatch.setattr(predictivity, "DRAWN", 3)
+    n, start = np.array([2, 3, 4]), np.array([4, 6, 0])
+    batch = pa.record_batch({"f": pa.array([0, 0, 0], pa.int32()), "x": pa.array([50.0, 60.0, 10.0]), "y": pa.array([0, 0, 0], pa.int32()), "n": n, "start": start})
+    told = {"drawn": 3, "states": predictivity._draws(9), "scale": {0: 1.0}, "near": {0: np.array([3])}}
+    got = np.sort(np.concatenate([x for _, x, _ in predictivity._spread(iter([batch]), told)]))
+    noise = np.random.default_rng(0).normal(0, 1e-10, 9)
+    assert (got == np.sort(np.repeat([10.0, 50.0, 60.0], [4, 2, 3]) + noise)).all()
+
+
 def test_all_held_out_embeddings_are_searched(spark, tmp_path):
     from tidemark.plans import queries
 

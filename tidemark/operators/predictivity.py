@@ -8,9 +8,11 @@ one minus it. All features are one melted table, scored in one job.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -241,18 +243,232 @@ def knn_mi(x: np.ndarray, y: np.ndarray, k: int = 3) -> float:
     return float(max(0.0, _digamma(np.array([len(x)]))[0] + _digamma(kk).mean() - _digamma(size).mean() - _digamma(np.maximum(m, 1)).mean()))
 
 
-def continuous_mi(df: DataFrame, features: list[str], target: str) -> DataFrame:
-    """feature, mi of continuous features and a class, over all rows; a feature is held by one task."""
-    ship(df.sparkSession)
-    classes = df.select(F.col(target).alias("_t")).distinct().withColumn("_class", F.dense_rank().over(Window.orderBy("_t")))
-    m = melt(df.join(classes, F.col(target).eqNullSafe(F.col("_t"))), features, F.col("_class"), F.lit(0))
-
-    def one(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("x", "ascending"), ("y", "ascending")])  # ties are broken alike however rows were dealt
-        v = knn_mi(t["x"].to_numpy(), t["y"].to_numpy())
-        return pa.table({"feature": pa.array([t["feature"][0].as_py()]), "mi": pa.array([v])})
+#: Rows of a feature, in the order of their values, that one task holds; and the numbers of the noise drawn at once.
+HELD, DRAWN = 500_000, 250_000
+
+
+def _draws(n: int) -> list[dict]:
+    """The state of knn_mi's generator before each ``DRAWN`` numbers, so that any task can go on from there."""
+    rng, out = np.random.default_rng(0), []
+    for _ in range(-(-n // DRAWN)):
+        out.append(rng.bit_generator.state)
+        rng.normal(0, 1e-10, DRAWN)
+    return out
+
+
+def _spread(batches: Iterator[pa.RecordBatch], told: dict) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """feature, values with the noise of their rank, classes, in bounded parts. Rows stand for runs of equal
+    ones from rank ``start`` on; classes of a single row have a rank and are left out."""
+    drawn, at, noise = told["drawn"], -1, None
+    for b in batches:
+        f, x, y, n, start = (b.column(c).to_numpy() for c in ("f", "x", "y", "n", "start"))
+        part = (np.cumsum(n) - n) // drawn  # parts of one feature, of ranks without a gap and of few rows, unless one run is longer
+        cut = [0, *(np.flatnonzero((np.diff(f) != 0) | (np.diff(part) != 0) | (start[1:] != (start + n)[:-1])) + 1), len(f)]
+        for u, v in zip(cut, cut[1:], strict=False) if len(f) else ():
+            first, last = int(start[u]), int(start[v - 1] + n[v - 1])
+            ends = start[u:v] + n[u:v]
+            for c in range(first // drawn, (last - 1) // drawn + 1):
+                if c != at:
+                    rng = np.random.default_rng(0)
+                    rng.bit_generator.state = told["states"][c]
+                    at, noise = c, rng.normal(0, 1e-10, drawn)
+                lo = np.maximum(start[u:v], c * drawn)
+                some = np.maximum(np.minimum(ends, (c + 1) * drawn) - lo, 0)
+                rank = np.repeat(lo - c * drawn - (np.cumsum(some) - some), some) + np.arange(some.sum())
+                code = np.repeat(y[u:v], some)
+                value = np.repeat(x[u:v], some) + noise[rank] * told["scale"][f[u]]
+                use = told["near"][f[u]][code] > 0
+                yield int(f[u]), value[use], code[use]
+
+
+def _marks(told: dict):
+    """Some values in order, as many as tell where to cut."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for f, x, _ in _spread(batches, told):
+            if f in told["many"] and len(x):
+                few = 1 + len(x) * 64 // told["held"]
+                few = np.sort(x)[((np.arange(few) + 0.5) * len(x) / few).astype(int)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(few), f), pa.int32()), pa.array(few), pa.array(np.full(len(few), len(x) / len(few)))], names=["f", "x", "w"])
+
+    return run
+
+
+def _cells(told: dict):
+    """Values and classes, packed, by feature and range of values."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for f, x, y in _spread(batches, told):
+            cell = np.searchsorted(told["cuts"][f], x, "right")
+            order = np.argsort(cell, kind="stable")
+            for at in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1) if len(x) else ():
+                yield pa.RecordBatch.from_arrays([pa.array([f], pa.int32()), pa.array([int(cell[at[0]])], pa.int32()), pa.array([x[at].tobytes()]), pa.array([y[at].astype("<i4").tobytes()])], names=["f", "cell", "x", "y"])
+
+    return run
+
+
+def _nearest(v: np.ndarray, near: int) -> np.ndarray:
+    """The distance of each of the sorted values to its near-th neighbour, by windows of near + 1."""
+    best = np.full(len(v), np.inf)
+    for s in range(near + 1):
+        lo = np.arange(len(v)) - s
+        ok = (lo >= 0) & (lo + near < len(v))
+        best[ok] = np.minimum(best[ok], np.maximum(v[ok] - v[lo[ok]], v[lo[ok] + near] - v[ok]))
+    return best
+
+
+def _cell_sums(told: dict):
+    """A row of the sum of digammas of the rows that the cell decides; of each class those that it does not
+    (open), and the values that their distances need: up to near beside them, and the cell's first and last."""
+
+    def run(t: pa.Table) -> pa.Table:
+        f, cell, cuts = t["f"][0].as_py(), t["cell"][0].as_py(), told["cuts"][t["f"][0].as_py()]
+        x = np.frombuffer(b"".join(t["x"].to_pylist()), "<f8")
+        y = np.frombuffer(b"".join(t["y"].to_pylist()), "<i4")
+        lo, hi = cuts[cell - 1] if cell else -np.inf, cuts[cell] if cell < len(cuts) else np.inf
+        order = np.argsort(x, kind="stable")
+        x, y = x[order], y[order]
+        total, out = 0.0, []
+        by_class = np.argsort(y, kind="stable")
+        for at in np.split(by_class, np.flatnonzero(np.diff(y[by_class])) + 1):
+            v, near = x[at], int(told["near"][f][y[at[0]]])
+            best = _nearest(v, near)
+            done = np.isfinite(best) & (v - best >= lo) & (v + best < hi)
+            radius = np.nextafter(best[done], 0)
+            m = np.searchsorted(x, v[done] + radius, "right") - np.searchsorted(x, v[done] - radius, "left")
+            total += float(_digamma(np.maximum(m, 1)).sum())
+            keep = np.zeros(len(v) + 1, int)
+            for k in np.flatnonzero(~done):
+                keep[max(0, k - near)] += 1
+                keep[min(len(v), k + near + 1)] -= 1
+            keep = np.cumsum(keep[:-1]) > 0
+            if len(cuts):
+                keep[:near] = keep[max(0, len(v) - near) :] = True
+            out.append((np.full(keep.sum(), y[at[0]]), v[keep], ~done[keep]))
+        ys, vs, opens = (np.concatenate(c) for c in zip(*out, strict=True))
+        return pa.table({
+            "f": pa.array(np.full(len(ys) + 1, f), pa.int32()),
+            "y": pa.array(np.r_[-1, ys], pa.int32()),
+            "v": pa.array(np.r_[total, vs]),
+            "open": pa.array(np.r_[False, opens]),
+        })
+
+    return run
+
+
+def _below(told: dict):
+    """How many values of a feature come first at the k-th of its bounds: lo bounds are above them, hi ones not below."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {f: [np.zeros(len(q) + 1, np.int64) for q in qs] for f, qs in told["bounds"].items()}
+        for f, x, _ in _spread(batches, told):
+            if f in sums:
+                for total, q, side in zip(sums[f], told["bounds"][f], ("right", "left"), strict=True):
+                    total += np.bincount(np.searchsorted(q, x, side), minlength=len(total))
+        for f, totals in sums.items():
+            for hi, total in enumerate(totals):
+                k = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), f), pa.int32()), pa.array(np.full(len(k), hi), pa.int32()), pa.array(k, pa.int32()), pa.array(total[k])], names=["f", "hi", "k", "n"])
+
+    return run
+
+
+def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sorted rows: the partition, and how many rows of the feature are before this one in it."""
+    seen: dict[int, int] = {}
+    pid = TaskContext.get().partitionId()
+    for b in batches:
+        f, n = b.column("f").to_numpy(), b.column("n").to_numpy()
+        start = np.zeros(len(n), np.int64)
+        for k in np.unique(f):
+            at = np.flatnonzero(f == k)
+            start[at] = seen.get(int(k), 0) + np.cumsum(n[at]) - n[at]
+            seen[int(k)] = seen.get(int(k), 0) + int(n[at].sum())
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(start), pa.array(np.full(len(n), pid), pa.int32())], names=["f", "x", "y", "n", "start", "pid"])
+
+
+def continuous_mi(df: DataFrame, features: list[str], target: str, put=None) -> DataFrame:
+    """feature, mi of continuous features and a class, over all rows: knn_mi of each feature's rows in their order.
+
+    No task holds a feature. Equal values of a class are one row with a rank; noise is drawn where ranks are
+    spread to values. A task has one range of values (``HELD`` rows, about); rows whose neighbours may be
+    beyond it, few a class and range, are settled on the driver, and what they count in one more pass.
+    """
+    if put is None:
+        from ..plans.queries import writer
 
-    return impute(m).groupBy("feature").applyInArrow(one, "feature string, mi double")
+        put = writer(df.sparkSession)
+    spark = df.sparkSession
+    ship(spark)
+    classes = df.select(F.col(target).alias("_t")).distinct().withColumn("_class", F.dense_rank().over(Window.orderBy("_t")) - 1)
+    m = melt(df.join(classes, F.col(target).eqNullSafe(F.col("_t"))), features, F.col("_class"), F.lit(0))
+    code = F.array_position(F.array(*[F.lit(c) for c in features]), F.col("feature")).cast("int") - 1
+    runs = impute(m).groupBy(code.alias("f"), "x", F.col("y").cast("int").alias("y")).agg(F.count("*").alias("n"))
+    runs = put("runs", runs.repartitionByRange("f", "x", "y").sortWithinPartitions("f", "x", "y").mapInArrow(_ranked, "f int, x double, y int, n long, start long, pid int"))
+    told: dict = {"drawn": DRAWN, "held": HELD, "scale": {}, "near": {}, "cuts": {}, "many": set()}
+    rows, size, used = {}, {}, {}
+    for r in runs.groupBy("f").agg(F.sum("n").alias("n"), (F.sum(F.abs("x") * F.col("n")) / F.sum("n")).alias("mean")).collect():
+        rows[r["f"]], told["scale"][r["f"]] = r["n"], max(1.0, r["mean"])
+    for r in runs.groupBy("f", "y").agg(F.sum("n").alias("n")).collect():  # a row a feature and class
+        size.setdefault(r["f"], {})[r["y"]] = r["n"]
+    for f, of in size.items():
+        told["near"][f] = np.array([max(0, min(3, of.get(c, 0) - 1)) for c in range(max(of) + 1)])
+        used[f] = sum(n for n in of.values() if n > 1)
+        told["cuts"][f] = np.zeros(0)
+        if used[f] > HELD:
+            told["many"].add(f)
+    told["states"] = _draws(max(rows.values(), default=0))
+    before, offset = {}, []
+    for r in sorted(runs.groupBy("pid", "f").agg(F.sum("n").alias("n")).collect(), key=lambda r: (r["f"], r["pid"])):  # a row a partition and feature
+        offset.append((r["pid"], r["f"], before.get(r["f"], 0)))
+        before[r["f"]] = before.get(r["f"], 0) + r["n"]
+    at = spark.createDataFrame(offset, "pid int, f int, off long")
+    runs = runs.join(F.broadcast(at), ["pid", "f"]).select("f", "x", "y", "n", (F.col("start") + F.col("off")).alias("start"))
+    if told["many"]:
+        marks = runs.mapInArrow(_marks(told), "f int, x double, w double").toArrow()
+        mf, mx, mw = (marks[c].to_numpy() for c in ("f", "x", "w"))
+        for f in told["many"]:
+            x, w = mx[mf == f], mw[mf == f]
+            order = np.argsort(x)
+            share = np.cumsum(w[order])
+            parts = -(-used[f] // HELD)
+            told["cuts"][f] = np.unique(x[order][np.searchsorted(share, share[-1] * np.arange(1, parts) / parts)])
+    cells = runs.mapInArrow(_cells(told), "f int, cell int, x binary, y binary").groupBy("f", "cell")
+    sums = put("cells", cells.applyInArrow(_cell_sums(told), "f int, y int, v double, open boolean")).toArrow()
+    sf, sy, sv, so = (sums[c].to_numpy() for c in ("f", "y", "v", "open"))
+    total = {f: float(sv[(sf == f) & (sy < 0)].sum()) for f in size}
+    bounds: dict = {}
+    for f in size:
+        at = np.flatnonzero((sf == f) & (sy >= 0))
+        at = at[np.lexsort((sv[at], sy[at]))]
+        lo, hi = [], []
+        for c in np.split(at, np.flatnonzero(np.diff(sy[at])) + 1) if so[at].any() else ():
+            v, u = sv[c], so[c]
+            if u.any():
+                radius = np.nextafter(_nearest(v, int(told["near"][f][sy[c[0]]])), 0)
+                lo.append(v[u] - radius[u])
+                hi.append(v[u] + radius[u])
+        if lo:
+            bounds[f] = np.concatenate(lo), np.concatenate(hi)
+    if bounds:
+        counts = runs.mapInArrow(_below(told | {"bounds": {f: [np.sort(q) for q in qs] for f, qs in bounds.items()}}), "f int, hi int, k int, n long")
+        counts = counts.groupBy("f", "hi", "k").agg(F.sum("n").alias("n")).toArrow()
+        cf, ch, ck, cn = (counts[c].to_numpy() for c in ("f", "hi", "k", "n"))
+        for f, qs in bounds.items():
+            below = []
+            for hi, q in enumerate(qs):
+                here, n = (cf == f) & (ch == hi), np.zeros(len(q) + 1, np.int64)
+                n[ck[here]] = cn[here]
+                below.append(np.cumsum(n)[np.searchsorted(np.sort(q), q, "left")])
+            total[f] += float(_digamma(np.maximum(below[1] - below[0], 1)).sum())
+    out = []
+    for f, of in size.items():
+        n = used[f]
+        many = [(min(3, c - 1), c) for c in of.values() if c > 1]
+        k, s, c = (np.array(v, float) for v in (zip(*[(k, c, c) for k, c in many], strict=True) if many else ([], [], [])))
+        mi = float(_digamma(np.array([n]))[0] + ((_digamma(k) - _digamma(s)) * c).sum() / n - total[f] / n) if n else 0.0
+        out.append((features[f], max(0.0, mi)))
+    return spark.createDataFrame(out, "feature string, mi double")
 
 
 def dominance(mi: DataFrame, floor: float = 0.2, ratio: float = 1.5) -> DataFrame:

@@ -218,7 +218,7 @@ class Audit:
             train = predictivity.ranged(train, [target], 10)
         mi = None
         if self.numeric:
-            mi = predictivity.continuous_mi(train, self.numeric, f"`{target}`")
+            mi = predictivity.continuous_mi(train, self.numeric, f"`{target}`", self.put)
         if self.strings:
             d = predictivity.mutual_information(train, self.strings, target)
             mi = d if mi is None else mi.unionByName(d)
