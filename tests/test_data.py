@@ -151,6 +151,22 @@ def test_text_join_in_many_blocks_writes_no_pairs(spark, tmp_path, monkeypatch):
     assert any(n > 3 for k, n in held.items() if k.startswith("sketches_")) and max(held.values()) <= len(set(docs))
 
 
+def test_near_texts_without_exact_ones_join_digests(spark):
+    from tidemark.plans import queries
+
+    df = queries.d002_minus_exact(spark, SF)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if " Join " in x and "text#" in x]
+    assert "sha2(cast(text" in plan
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    want = {(r.r_pos, r.l_pos) for r in similarity.text_near_rows(similarity.text_links(*queries.halves(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id"), "text")).collect()}
+    first = {}
+    for i, t in sorted(docs):
+        if i % 5 < 4:
+            first.setdefault(t, i)
+    assert {(r.r_pos, r.l_pos) for r in df.collect()} == want - {(i, first[t]) for i, t in docs if i % 5 == 4 and t in first}
+
+
 def test_vector_join_equals_brute_force_and_visits_few(spark, monkeypatch):
     """Many components: the first axes tell little, planes between pivots do."""
     rng = np.random.default_rng(6)
